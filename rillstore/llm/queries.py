@@ -22,12 +22,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillstore.llm import minhash
+
+    return minhash.components(table(spark, sf_dir, "documents"), minhash.Near(k=4))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillstore.llm import quality
 
     return quality.judge(table(spark, sf_dir, "documents")).select(*quality.RESULT)
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillstore.llm import repeats
+
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillstore.llm import pages
+
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillstore.llm import tokens
 
@@ -43,7 +61,10 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_quality": op2_quality,
+    "op4_repeats": op4_repeats,
+    "op5_main_text": op5_main_text,
     "op8_token_counts": op8_token_counts,
     "op9_token_ids": op9_token_ids,
 }
