@@ -135,3 +135,42 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 RESULT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "n_lines_removed", "kept")
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents
+), c AS (
+  SELECT doc_id, text, w, lines, len(w) AS n, list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS worded FROM d
+), win AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, n - 1)) AS i FROM c WHERE n >= 3)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM win) WHERE k > 1
+), rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id
+), line AS (
+  SELECT doc_id, x, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '') AS v FROM (SELECT doc_id, unnest(lines) AS x FROM c)
+), verdict AS (
+  SELECT doc_id, length(array_to_string(v, '')) AS chars,
+    (len(v) >= 3 AND (length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) * 100 >= len(v) * @symbols OR length(regexp_replace(x, '[^!]', '', 'g')) * 100 >= len(v) * @shout))
+    OR (x = upper(x) AND x <> lower(x) AND len(v) >= 3)
+    OR (len(v) >= 10 AND len(list_distinct(v)) * 100 < len(v) * @distinct)
+    OR (len(v) >= 2 AND len(list_filter(v, lambda y: NOT lower(regexp_replace(y, '[\p{P}\p{S}]', '', 'g')) IN ('', @navigation))) = 0) AS junk,
+    regexp_matches(lower(x), '\b(?:@boilerplate)') AS furniture
+  FROM line WHERE len(v) > 0
+), lost AS (
+  SELECT doc_id, CAST(coalesce(sum(chars) FILTER (WHERE junk), 0) AS BIGINT) AS lost_chars, count(*) FILTER (WHERE junk OR furniture) AS n_lines_removed FROM verdict GROUP BY doc_id
+), f AS (
+  SELECT c.doc_id, CAST(n AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(worded) - len(list_distinct(worded)) AS BIGINT) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost_chars, 0) AS lost_chars, coalesce(n_lines_removed, 0) AS n_lines_removed
+  FROM c LEFT JOIN rep ON rep.doc_id = c.doc_id LEFT JOIN lost ON lost.doc_id = c.doc_id
+), b AS (SELECT *, n_words < @min_words OR n_repeat_words * 100 > n_words * @max_repeat AS base_failed FROM f)
+SELECT *, NOT base_failed AND lost_chars * 100 <= word_chars * @max_lost AS kept FROM b
+"""
+for _k, _v in {
+    "@symbols": Rules.symbol_share, "@shout": Rules.shout_share, "@distinct": Rules.min_distinct_share, "@min_words": Rules.min_words, "@max_repeat": Rules.max_repeat_share,
+    "@max_lost": Rules.max_lost, "@navigation": ", ".join(f"'{x}'" for x in NAVIGATION), "@boilerplate": "|".join(BOILERPLATE),
+}.items():
+    ORACLE = ORACLE.replace(_k, str(_v))

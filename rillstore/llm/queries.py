@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rillstore.cluster import shared_dir
+from rillstore.llm import chat, quality
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -46,6 +47,12 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillstore.llm import chat
+
+    return chat.views(table(spark, sf_dir, "conversations"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillstore.llm import tokens
 
@@ -60,13 +67,21 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.read_ids(spark, path)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillstore.llm import decontam
+
+    return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality": op2_quality,
     "op4_repeats": op4_repeats,
     "op5_main_text": op5_main_text,
+    "op7_chat": op7_chat,
     "op8_token_counts": op8_token_counts,
     "op9_token_ids": op9_token_ids,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_quality": quality.ORACLE, "op7_chat": chat.ORACLE}
