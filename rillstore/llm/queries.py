@@ -11,6 +11,8 @@ from rillstore.llm import chat, quality
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
+#: Target shares of the domains' tokens.
+TARGETS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -35,6 +37,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(*quality.RESULT)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillstore.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillstore.llm import repeats
 
@@ -47,6 +56,12 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillstore.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillstore.llm import chat
 
@@ -76,8 +91,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality": op2_quality,
+    "op3_toxicity": op3_toxicity,
     "op4_repeats": op4_repeats,
     "op5_main_text": op5_main_text,
+    "op6_mixing": op6_mixing,
     "op7_chat": op7_chat,
     "op8_token_counts": op8_token_counts,
     "op9_token_ids": op9_token_ids,

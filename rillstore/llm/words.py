@@ -20,6 +20,9 @@ BLOCK = 1 << 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of words as the classifiers see them: letters, digits and all that is not ASCII.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -82,9 +85,12 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def find(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the number of words before each text (with the total)."""
-    inside = ~_SPACE[data]
+def find(data: np.ndarray, at: np.ndarray, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the number of words before each text (with the total).
+
+    ``letters``: another table of the 256 bytes that make words.
+    """
+    inside = ~_SPACE[data] if letters is None else letters[data]
     edge = np.empty(len(data) + 1, bool)
     edge[0] = edge[-1] = True
     np.not_equal(inside[1:], inside[:-1], out=edge[1:-1]) if len(data) else None
