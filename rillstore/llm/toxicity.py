@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples.
 
 Examples are a bounded sample of labelled documents (``per_label`` of each label, those of least hash).
-Terms are lower-cased words; those that set the labels of the sample apart (chi-square) make the
-vocabulary, weighted by their document frequency in all documents. Every document is compared with
+Terms are lower-cased words and the beginnings of longer ones; those that set the labels of the sample apart (by chi-square and odds) make
+the vocabulary, weighted by their document frequency in all documents. Every document is compared with
 the examples by TF-IDF cosine in an inverted index of example blocks: a block's largest weight of each
 term bounds the cosine of its examples, blocks are read in order of that bound, and reading stops when
 the bound falls to the k-th best cosine, so the k nearest are exact. Their votes, weighted by cosine,
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillstore.cluster import ship_package
+from rillstore.cluster import cut, ship_package
 from rillstore.llm import words as W
 
 RESULT = "doc_id long, held_out boolean, score double, predicted int, evidence array<long>"
@@ -34,18 +34,26 @@ RESULT = "doc_id long, held_out boolean, score double, predicted int, evidence a
 @dataclass(frozen=True)
 class Toxic:
     per_label: int = 2000  # labelled documents of each label that are fitted
-    terms: int = 512
-    least_chi: float = 15.0
+    terms: int = 768
+    least_chi: float = 30.0
+    least_odds: float = 8.0  # a term's odds in one label over those in the other, at least
     least_df: int = 3
     k: int = 15
     block: int = 64
 
 
+#: Bytes of a word's beginning that make a term of their own.
+STEM = 5
+
+
 def _terms(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, and the text it is in."""
+    """Hash of every word and of every longer word's beginning, and the text it is in."""
     data, at = W.flat(col)
     s, e, first = W.find(data, at, W.LETTERS)
-    return W.hashes(data, s, e, lower=True), np.repeat(np.arange(len(at) - 1), np.diff(first))
+    text = np.repeat(np.arange(len(at) - 1), np.diff(first))
+    long = e - s > STEM
+    stem = W.hashes(data, s[long], s[long] + STEM, lower=True) ^ np.uint64(0x5DEECE66D)
+    return np.concatenate([W.hashes(data, s, e, lower=True), stem]), np.concatenate([text, text[long]])
 
 
 def counts(col: pa.Array, vocabulary: np.ndarray) -> np.ndarray:
@@ -154,14 +162,14 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, p: Toxic = Toxic()) -> Model:
     """Learn from labelled rows that are not held out; term frequencies come from all documents."""
     ship_package(docs.sparkSession)
-    known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    marked = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    share = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(share.values())
     base = share.get(1, 0) / total if total else 0.0
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), None, np.zeros(0), np.zeros(0, np.int64), base, (1.0, 0.0), p.k)
     if len(share) < 2:
         return empty
-    pick = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.per_label) for y in (0, 1)]
+    pick = [marked.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.per_label) for y in (0, 1)]
     sample = pick[0].unionByName(pick[1])  # at most 2 * per_label rows
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     texts = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
@@ -169,20 +177,25 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxic = Toxic()) -> Model:
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.slices(batches):
             word, text = _terms(b.column("text"))
+            order = np.argsort(text, kind="stable")
+            word, text = word[order], text[order]
             y = np.asarray(b.column("toxic"))
             for i in range(b.num_rows):
                 own = np.unique(word[np.searchsorted(text, i) : np.searchsorted(text, i, "right")]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), y[i], np.int32))], ["term", "toxic"])
+                kin = W.mix(own.view(np.uint64)).min() if len(own) else 0  # near copies mostly share it, and count once
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), y[i], np.int32)), pa.array(np.full(len(own), kin, np.uint64).view(np.int64))], ["term", "toxic", "kin"])
 
-    n = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    found = cut(texts.mapInArrow(terms, "term long, toxic int, kin long").distinct())
+    n = {r["toxic"]: r["n"] for r in found.groupBy("toxic").agg(F.countDistinct("kin").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return empty
-    both = texts.mapInArrow(terms, "term long, toxic int").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    both = found.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    c, d = n1 - a, n0 - b
+    c, d = n1 - a, n0 - b  # of texts that are no near copies
     chi = (n1 + n0) * F.pow(a * d - b * c, 2) / ((a + b) * F.greatest(c + d, F.lit(1.0)) * n1 * n0)
-    best = both.filter(F.col("a") + F.col("b") >= p.least_df).select("term", chi.alias("chi")).filter(F.col("chi") >= p.least_chi).orderBy(F.desc("chi"), "term").limit(p.terms)
+    odds = (a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))
+    best = both.filter(F.col("a") + F.col("b") >= p.least_df).filter((odds >= p.least_odds) | (odds <= 1 / p.least_odds)).select("term", chi.alias("chi")).filter(F.col("chi") >= p.least_chi).orderBy(F.desc("chi"), "term").limit(p.terms)
     vocabulary = np.sort(np.array([r["term"] for r in best.collect()], np.int64).view(np.uint64))
     if not len(vocabulary):
         return empty
@@ -215,10 +228,11 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxic = Toxic()) -> Model:
     y = np.array([r["toxic"] for r in rows], np.float64)
     model = Model(vocabulary, idf, Index.build(x, p.block), y, np.array([r["doc_id"] for r in rows]), base, (1.0, 0.0), p.k)
     cos, example = model.index.nearest(x, p.k, but=np.arange(len(rows)))
-    weight = np.where(y == 1, share[1] / n1, share[0] / n0)
+    drawn = min(share[0], p.per_label), min(share[1], p.per_label)
+    weight = np.where(y == 1, share[1] / drawn[1], share[0] / drawn[0])
     model.curve = _logistic(model.votes(cos, example), y, weight * len(y) / weight.sum())
-    quiet = [sum(r == t for r in y) for t in (0, 1)]  # of each label, examples with a known term
-    lone = share[1] * (1 - quiet[1] / n1), share[0] * (1 - quiet[0] / n0)
+    known = (y == 0).sum(), (y == 1).sum()  # of each label, examples with a known term
+    lone = share[1] * max(0.0, 1 - known[1] / drawn[1]), share[0] * max(0.0, 1 - known[0] / drawn[0])
     model.base = float(lone[0] / sum(lone)) if sum(lone) else base
     return model
 
