@@ -111,27 +111,29 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     d = docs.drop(*new).withColumn("_words", words_of(text)).withColumn("_lines", F.split(text, "\n"))
     worded = F.filter(F.col("_lines"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumns({"_n": F.size("_words"), "_worded": worded})
-    bad = F.transform(
+    judged = F.transform(
         "_lines",
         lambda x: F.transform(
             F.array(words_of(x)),
-            lambda w: F.when(F.size(w) == 0, F.lit(0)).when(line_failures(x, w, rules), F.length(F.array_join(w, ""))).when(is_boilerplate(x), F.lit(-1)).otherwise(F.lit(0)),
+            lambda w: F.struct(x.alias("line"), F.when(F.size(w) == 0, F.lit(0)).when(line_failures(x, w, rules), F.length(F.array_join(w, ""))).when(is_boilerplate(x), F.lit(-1)).otherwise(F.lit(0)).alias("bad")),
         )[0],
-    )  # the word characters of a junk line, -1 for boilerplate, else 0
-    d = d.withColumn("_bad", bad)
+    )  # with each line the word characters it loses as junk, -1 for boilerplate, else 0
+    d = d.withColumn("_judged", judged)
+    good = F.transform(F.filter("_judged", lambda x: x["bad"] == 0), lambda x: x["line"])
     d = d.withColumns({
-        "n_words": F.col("_n").cast("long"),
+        # Not deterministic by its mark, so that a filter on the verdict is not moved below and all worked out twice.
+        "n_words": F.when(F.monotonically_increasing_id() >= 0, F.col("_n").cast("long")),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": (F.size("_worded") - F.size(F.array_distinct("_worded"))).cast("long"),
         "n_repeat_words": _repeat_words(F.col("_words"), F.col("_n")),
-        "lost_chars": F.aggregate("_bad", F.lit(0).cast("long"), lambda a, x: a + F.greatest(x, F.lit(0))),
-        "n_lines_removed": F.size(F.filter("_bad", lambda x: x != 0)).cast("long"),
-        "clean_text": F.when(F.exists("_bad", lambda x: x != 0), F.array_join(F.filter("_lines", lambda x, i: F.get(F.col("_bad"), i) == 0), "\n")).otherwise(text),
+        "lost_chars": F.aggregate("_judged", F.lit(0).cast("long"), lambda a, x: a + F.greatest(x["bad"], F.lit(0))),
+        "n_lines_removed": F.size(F.filter("_judged", lambda x: x["bad"] != 0)).cast("long"),
+        "clean_text": F.array_join(good, "\n"),
     })
     d = d.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_share))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * rules.max_lost))
-    return d.drop("_words", "_lines", "_worded", "_bad", "_n")
+    return d.drop("_words", "_lines", "_worded", "_judged", "_n")
 
 
 RESULT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "n_lines_removed", "kept")
