@@ -7,11 +7,13 @@ agree in a coordinate with the probability of their Jaccard similarity, with con
 like those of ``t`` independent hash functions, in O(n + t log t) expected time.
 
 ``rows`` coordinates make a band. Texts with equal sets form a class, and only one text of each
-class goes on. Texts with an equal band are candidates. First each bucket is compared with its
-smallest member only; then, where a bucket still spans several components, with other members, and
-last every remaining pair of different components that shares a bucket is compared. Each comparison
-is exact, on the full sets. No bucket is gathered in one place, and no pair that could still join
-two components is left out.
+class goes on. Texts with an equal band are candidates. First each bucket is compared with one member
+only, that with the fewest shingles of its own; then, where a bucket still spans several components,
+with other members, and last every remaining pair of different components that shares a bucket is
+compared. Pairs are passed over only where they are proved to be too different: by the shingles that a
+text shares with nobody, or by the parities of its shingles in hash slots.
+Each comparison is exact, on the full sets. No bucket is gathered in one place, and no pair that could
+still join two components is left out.
 
 Defined results: a null or empty text, or one without words, has the empty set and is linked with
 nothing; fewer than ``k`` words make one shingle; of rows with the same ``doc_id`` the smallest text
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,8 @@ class Near:
     percent: int = 80
     bands: int = 40
     rows: int = 5
-    star_rounds: int = 4
+    star_rounds: int = 3  # rounds of one member against its bucket, before all that is left
+    few: int = 1000  # pairs left for each row of a bucket that are looked at at once
 
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -119,6 +123,41 @@ def _sketcher(p: Near):
     return run
 
 
+def _shingler(p: Near):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in W.slices(batches):
+            items, sizes = shingles(*W.flat(b.column("text")), p.k)
+            rep = np.repeat(np.asarray(b.column("doc_id")), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(items.view(np.int64))], ["rep", "shingle"])
+
+    return run
+
+
+#: Bits of a set's parities, as 64-bit numbers.
+PARITIES = 16
+
+
+def parities(items: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each set, whether each of ``64 * PARITIES`` hash slots holds an odd number of its items.
+
+    Slots in which two sets differ hold at least one item of only one of them, so their number is at
+    most the size of the sets' symmetric difference.
+    """
+    m = 64 * PARITIES
+    slot = (W.mix(items ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(m)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * m + slot, minlength=len(sizes) * m).reshape(-1, m) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view("<i8")
+
+
+def _parities(p: Near):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in W.slices(batches):
+            bits = parities(*shingles(*W.flat(b.column("text")), p.k))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(bits[:, i]) for i in range(PARITIES)]], ["rep", *[f"p{i}" for i in range(PARITIES)]])
+
+    return run
+
+
 def _verifier(p: Near):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -145,18 +184,18 @@ def verify(pairs: DataFrame, texts: DataFrame, p: Near) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """``(node, component)`` of the nodes of ``edges(a, b)``: the smallest node reachable.
+    """``(node, component)`` of the nodes of ``edges(a, b)`` but the components' smallest: the smallest reachable.
 
-    Alternates large-star and small-star steps, whose number grows with the logarithm of the graph;
-    every step is aggregates and joins on the edges, written to the shared folder.
+    Alternates large-star and small-star steps until every node points to its component's smallest;
+    their number grows with the logarithm of the graph. Every step is aggregates and joins on the
+    edges, written to the shared folder.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
     while True:
-        sign = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(sign) == before:
-            return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-        before = tuple(sign)
+        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        chained = e.select(F.col("v").alias("u")).distinct().join(e, "u", "left_semi")
+        if least.filter("n > 1").select("u").unionByName(chained).isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = cut(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
@@ -186,38 +225,53 @@ def components(docs: DataFrame, p: Near = Near()) -> DataFrame:
     reps = known.join(classes.select(F.col("rep").alias("doc_id"), *own), ["doc_id", *own]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands")
     rows = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
 
-    # Buckets of two or more; each is first compared with its smallest member.
-    leaders = cut(rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("members")).filter("members > 1").select("key", "lead"))
-    buckets = cut(rows.join(leaders, "key"))
-    fits = f"100 * least(n_a, n_b) >= {p.percent} * greatest(n_a, n_b)"
-    pairs = buckets.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b"))
-    pairs = cut(pairs.filter("a <> b").filter(fits).select("a", "b").distinct())
-    needed = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = cut(d.join(needed, "doc_id", "left_semi"))
-
-    tested = cut(verify(pairs, texts, p))
+    # Buckets of two or more, and the texts they hold.
+    many = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    buckets = cut(rows.join(cut(many), "key"))
+    texts = cut(d.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+
+    # Shingles that no other such text has bound every similarity of a text: what two texts share is
+    # at most the smaller number of other shingles. Texts that can reach nobody leave.
+    lone = texts.mapInArrow(_shingler(p), "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
+    lone = lone.filter("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    facts = ["rep", "n", "own", "component", *[f"p{i}" for i in range(PARITIES)]]
+    odd = texts.mapInArrow(_parities(p), "rep long, " + ", ".join(f"p{i} long" for i in range(PARITIES)))
+    members = buckets.join(odd.join(lone, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))), "rep")
+    members = cut(members.filter(f"100 * (n - own) >= {p.percent} * n"))
+    fits = f"100 * least(n_a - own_a, n_b - own_b) >= {p.percent} * (n_a + n_b - least(n_a - own_a, n_b - own_b))"
+    differ = " + ".join(f"bit_count(p{i}_a ^ p{i}_b)" for i in range(PARITIES))
+    fits += f" AND {100 + p.percent} * ({differ}) <= {100 - p.percent} * (n_a + n_b)"
+
+    def side(x: DataFrame, name: str) -> DataFrame:
+        return x.select("key", *[F.col(c).alias(f"{c}_{name}") for c in facts])
+
+    tested: list[DataFrame] = []  # (a, b, ok)
+    open_ = members.withColumn("component", F.col("rep"))
     for r in range(p.star_rounds + 1):
-        links = tested.filter("ok").select("a", "b")
-        open_ = _labelled(buckets.select("key", "rep", "n"), links)
-        spans = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        open_ = cut(open_.join(spans, "key", "left_semi"))
-        sizes = open_.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"))
-        n, crossing = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.lit(0))).first()
-        if not n:
-            break
-        every = crossing <= 4 * n or r == p.star_rounds
-        left = open_.select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "component")])
-        if not every:  # another member of each bucket, by chance, for all the others
-            left = left.groupBy("key").agg(F.min_by(F.struct("rep_a", "n_a", "component_a"), F.xxhash64("rep_a", F.lit(r))).alias("x")).select("key", "x.*")
-        right = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "component")])
-        more = left.join(right, "key").filter("component_a < component_b" if every else "component_a <> component_b").filter(fits)
-        more = more.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
-        more = more.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested = cut(tested.unionByName(verify(cut(more), texts, p)))
+        every = r == p.star_rounds
+        if r:
+            links = reduce(DataFrame.unionByName, tested).filter("ok").select("a", "b")
+            open_ = _labelled(members, links).select("key", *facts)
+            spans = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+            open_ = cut(open_.join(spans, "key", "left_semi"))
+            sizes = open_.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("within"))
+            n, crossing = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("within")) / 2), F.lit(0))).first()
+            if not n:
+                break
+            every = every or crossing <= p.few * n
+        left = side(open_, "a")
+        if not every:  # one member of each bucket, of those with the fewest own shingles, for all the others
+            lead = F.struct(F.floor(F.col("own_a") / (4 if r else 1)), F.xxhash64("rep_a", F.lit(r)))
+            left = left.groupBy("key").agg(F.min_by(F.struct(*[f"{c}_a" for c in facts]), lead).alias("x")).select("key", "x.*")
+        pairs = left.join(side(open_, "b"), "key").filter("component_a < component_b" if every else "component_a <> component_b").filter(fits)
+        pairs = pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+        if tested:
+            pairs = pairs.join(reduce(DataFrame.unionByName, tested).select("a", "b"), ["a", "b"], "left_anti")
+        tested.append(cut(verify(cut(pairs), texts, p)))
         if every:
             break
 
-    found = connected(tested.filter("ok").select("a", "b")).withColumnRenamed("node", "rep")
+    found = connected(reduce(DataFrame.unionByName, tested).filter("ok").select("a", "b")).withColumnRenamed("node", "rep")
     to = cut(classes.join(found, "rep", "left").select(*own, F.coalesce("component", "rep").alias("_component")))
     out = known.select("doc_id", *own).join(to, own, "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"))
