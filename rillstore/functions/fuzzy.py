@@ -209,14 +209,13 @@ def fuzzy_join(left: DataFrame, right: DataFrame, on: tuple[str, str], most: int
     own = F.length(b)
     lengths = F.sequence(F.greatest(F.lit(0), own - k), own + k)
 
+    def shifted(m: Column, i: int) -> Column:
+        start = F.floor(m * i / (k + 1)).cast("int")
+        size = F.floor(m * (i + 1) / (k + 1)).cast("int") - start
+        return F.transform(F.sequence(F.greatest(F.lit(0), start - k), start + k), lambda at: F.struct(F.lit(i).alias("i"), m.alias("n"), F.substring(b, at + 1, size).alias("p")))
+
     def places(m: Column) -> Column:
-        return F.flatten(F.array(*[
-            F.transform(
-                F.sequence(F.greatest(F.lit(0), F.floor(m * i / (k + 1)).cast("int") - k), F.floor(m * i / (k + 1)).cast("int") + k),
-                lambda at, i=i: F.struct(F.lit(i).alias("i"), m.alias("n"), F.substring(b, at + 1, (F.floor(m * (i + 1) / (k + 1)) - F.floor(m * i / (k + 1))).cast("int")).alias("p")),
-            )
-            for i in range(k + 1)
-        ]))
+        return F.flatten(F.array(*[shifted(m, i) for i in range(k + 1)]))
 
     r = right.withColumn("_r", F.monotonically_increasing_id()).withColumn("_k", F.explode(F.array_distinct(F.flatten(F.transform(lengths, places)))))
     pairs = l.join(r, "_k").drop("_k").dropDuplicates(["_l", "_r"]).drop("_l", "_r")
