@@ -6,9 +6,10 @@ Options: ``path`` (file or folder), ``schema`` (schema text), ``table``, ``tag``
 
 Columns are the declared ones, then ``_source, _rowid, _offset, _data``. ``_rowid`` counts all records of
 all tables from 1 in order of path and offset. A batch read makes one partition for every
-``split_bytes`` of frames, found by hopping from header to header; equality filters on ``_rowid``,
-``_offset`` and ``_source`` drop partitions or records before they are decoded. A half-written frame at
-the end is left alone; a streaming read takes it up once it is whole.
+``split_bytes`` of frames, found by hopping from header to header; the options ``rowid`` and ``offset`` read
+one record only, from the one partition that holds it. (Spark 4.1 keeps what filters a scan pushed
+down for later scans of the same frame, so filters are not taken here.) A half-written frame at the end
+is left alone; a streaming read takes it up once it is whole.
 
 The files are opened by Python on the executors, so they must lie on a file system mounted there;
 :func:`rillstore.operators.store.read_frames` reads from any file system Spark knows.
@@ -22,7 +23,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from rillstore import codec
 from rillstore.schema import parse
@@ -107,17 +108,9 @@ class _Rows:
 class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options, self.rows = options, _Rows(options)
-        self.rowid = self.offset = self.source = None
-
-    def pushFilters(self, filters: list[Filter]):  # noqa: N802
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute in (("_rowid",), ("_offset",), ("_source",)):
-                setattr(self, f.attribute[0][1:], f.value)
-            yield f  # Spark checks again
+        self.rowid, self.offset = (int(options[k]) if options.get(k) else None for k in ("rowid", "offset"))
 
     def partitions(self) -> Sequence[InputPartition]:
-        if self.source is not None and self.source != self.rows.source:
-            return []
         out, rowid, size = [], 1, int(self.options.get("split_bytes", 64 << 20))
         for path in files(self.options["path"]):
             if self.rows.layout == "checked":
@@ -141,7 +134,9 @@ class Reader(DataSourceReader):
             out = [s for s in out if s.start <= self.offset < s.end]
         return out
 
-    def read(self, partition: Span) -> Iterator[tuple]:
+    def read(self, partition: Span | None) -> Iterator[tuple]:
+        if partition is None:  # Spark's stand-in for no partitions
+            return iter(())
         return self.rows.span(partition, lambda r, o: (self.rowid is None or r == self.rowid) and (self.offset is None or o == self.offset))
 
 
@@ -181,8 +176,8 @@ class StreamReader(DataSourceStreamReader):
                 out.append(Span(path, a, b, m + 1, n - m))
         return out
 
-    def read(self, partition: Span) -> Iterator[tuple]:
-        return self.rows.span(partition)
+    def read(self, partition: Span | None) -> Iterator[tuple]:
+        return self.rows.span(partition) if partition is not None else iter(())
 
     def commit(self, end: dict) -> None:
         pass
@@ -254,9 +249,8 @@ class RillSource(DataSource):
 
 
 def register(spark) -> None:
-    """Make ``spark.read.format("rill")`` known, with its code on the executors and filters pushed down."""
+    """Make ``spark.read.format("rill")`` known, with its code on the executors."""
     from rillstore.cluster import ship_package
 
     ship_package(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RillSource)

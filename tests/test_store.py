@@ -126,7 +126,9 @@ def test_source_format(spark, tmp_path):
     df = r.load()
     assert df.count() == 30 and df.rdd.getNumPartitions() > 3
     assert df.filter("_rowid = 7").select("id").first()[0] == 6
-    assert df.filter("_source = 'other'").count() == 0
+    assert df.filter("_source = 'other'").count() == 0 and df.count() == 30
+    one = spark.read.format("rill").option("path", str(tmp_path)).option("schema", USER).option("table", "User").option("tag", "USER").option("split_bytes", "500").option("rowid", "7").load()
+    assert one.rdd.getNumPartitions() == 1 and [x["id"] for x in one.collect()] == [6]
     assert r.option("columns", "id").load().select("id", "name").first()[1] is None
     df.select("id", "name", "email", "age").write.format("rill").mode("append").option("path", str(tmp_path / "w")).option("schema", USER).option("table", "User").option("tag", "USER").save()
     back = spark.read.format("rill").option("path", str(tmp_path / "w")).option("schema", USER).option("table", "User").option("tag", "USER").load()
