@@ -72,14 +72,14 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], domai
             s, e, first = W.find(data, at, W.LETTERS)
             slot = (W.hashes(data, s, e, lower=True) % np.uint64(p.slots)).astype(np.int64)
             for i in range(b.num_rows):
-                x = np.bincount(slot[first[i] : first[i + 1]], minlength=p.slots).astype(np.float32) / max(1, first[i + 1] - first[i])
-                yield pa.RecordBatch.from_arrays([b.column("_domain").slice(i, 1), b.column("doc_id").slice(i, 1), pa.array([x], pa.list_(pa.float32()))], ["domain", "doc_id", "x"])
+                x = (np.bincount(slot[first[i] : first[i + 1]], minlength=p.slots) / max(1, first[i + 1] - first[i])).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([b.column("_domain").slice(i, 1), b.column("doc_id").slice(i, 1), pa.array([x.tobytes()], pa.binary())], ["domain", "doc_id", "x"])
 
-    rows = sorted(own.mapInArrow(vectors, "domain string, doc_id long, x array<float>").toLocalIterator(), key=lambda r: r["doc_id"])
+    rows = sorted(own.mapInArrow(vectors, "domain string, doc_id long, x binary").collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))  # at most ``sample`` vectors
     k = len(domains)
     if not rows:
         return Classifier(domains, np.zeros((p.slots, k)), np.zeros(k))
-    x = np.array([r["x"] for r in rows], np.float32)
+    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
     y = np.eye(k, dtype=np.float32)[[domains.index(r["domain"]) for r in rows]]
     share = (y.sum(0) + 0.5) / (len(y) + 0.5 * k)
     w, bias = np.zeros((p.slots, k), np.float32), np.log(share)
