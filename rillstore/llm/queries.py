@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rillstore.cluster import shared_dir
-from rillstore.llm import chat, quality
+from rillstore.llm import chat, oracles, quality
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -101,4 +101,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality": quality.ORACLE, "op7_chat": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": oracles.NEAR,
+    "op2_quality": quality.ORACLE,
+    "op4_repeats": oracles.REPEATS,
+    "op7_chat": chat.ORACLE,
+    "op10_decontamination": oracles.DECONTAMINATION,
+}
