@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -9,9 +10,6 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SHIPPED = "rillstore.shipped"
-
-
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so Python workers can import it."""
     sc = spark.sparkContext
@@ -29,18 +27,36 @@ def ship_package(spark: SparkSession) -> None:
     sc._rillstore_shipped = sc.applicationId
 
 
+_MADE: list[str] = []
+
+
+@atexit.register
+def _drop_made() -> None:
+    """Delete what :func:`shared_dir` gave out, if the application still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for path in _MADE:
+        try:
+            drop_path(spark, path)
+        except Exception:  # the application is ending: what is left is the folder's owner's to clean
+            return
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that the driver and all executors see.
 
-    It lies under ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a
-    temporary folder is made and set as the checkpoint folder.
+    It lies under ``spark.checkpoint.dir`` and is deleted when the driver's Python ends. Only where that
+    setting is unset (tests on one machine) a temporary folder is made and set as the checkpoint folder.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="rillstore-shared-")
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/rillstore-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/rillstore-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:

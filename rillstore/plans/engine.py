@@ -252,6 +252,46 @@ def fn_soundex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "nation").select("n_name", F.soundex("n_name").alias("code"))
 
 
+def _packs(sql: str, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from rillstore.functions.sql import register
+
+        register(spark)
+        for t in tables:
+            _table(spark, sf_dir, t).createOrReplaceTempView(t)
+        return spark.sql(sql)
+
+    return run
+
+
+PACKS: dict[str, tuple[str, str, tuple[str, ...]]] = {
+    "pack_text": (
+        "SELECT p_partkey, text_upper(p_name) AS u, text_left(p_name, -2) AS l, text_right(p_name, 3) AS r, text_slice(p_name, -4, -1) AS s, text_split(p_type, ' ', 1) AS w, text_index(p_name, 'a') AS i, text_has_prefix(p_brand, 'Brand') AS h, text_count(p_type, 'e') AS c, text_reverse(p_brand) AS v, text_lpad(p_brand, 10, '.') AS p, text_trim(p_brand, 'Bd') AS t, text_size(p_name) AS z FROM part",
+        "SELECT p_partkey, upper(p_name) AS u, left(p_name, greatest(length(p_name) - 2, 0)) AS l, right(p_name, 3) AS r, CASE WHEN length(p_name) >= 4 THEN substring(p_name, length(p_name) - 3, 3) ELSE left(p_name, greatest(length(p_name) - 1, 0)) END AS s, split_part(p_type, ' ', 1) AS w, instr(p_name, 'a') AS i, CAST(starts_with(p_brand, 'Brand') AS INT) AS h, CAST(length(p_type) - length(replace(p_type, 'e', '')) AS INT) AS c, reverse(p_brand) AS v, lpad(p_brand, 10, '.') AS p, trim(p_brand, 'Bd') AS t, strlen(p_name) AS z FROM part",
+        ("part",),
+    ),
+    "pack_loose": (
+        "SELECT l_orderkey, l_linenumber, div_int(l_orderkey, l_linenumber - 1) AS q, mod_safe(l_orderkey, l_linenumber - 1) AS m, trunc_num(l_extendedprice) AS t, max_of(l_tax, l_discount) AS x, to_int_loose(concat(CAST(l_linenumber AS STRING), 'x')) AS i, like_nocase(l_returnflag, 'r%') AS k, quote_text(l_linestatus) AS z FROM lineitem",
+        "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 1 THEN l_orderkey // (l_linenumber - 1) END AS q, CASE WHEN l_linenumber <> 1 THEN l_orderkey % (l_linenumber - 1) END AS m, CAST(trunc(l_extendedprice) AS BIGINT) AS t, greatest(l_tax, l_discount) AS x, CAST(l_linenumber AS BIGINT) AS i, l_returnflag ILIKE 'r%' AS k, chr(39) || l_linestatus || chr(39) AS z FROM lineitem",
+        ("lineitem",),
+    ),
+    "pack_dates": (
+        "SELECT o_orderkey, julianday(o_orderdate) AS jd, unixepoch(o_orderdate) AS e, date_text(o_orderdate) AS d, time_text(o_orderdate) AS t, datetime_text(o_orderdate) AS dt FROM orders",
+        "SELECT o_orderkey, epoch_us(o_orderdate) / 86400000000::DOUBLE + 2440587.5::DOUBLE AS jd, CAST(epoch(o_orderdate) AS BIGINT) AS e, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%H:%M:%S') AS t, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS dt FROM orders",
+        ("orders",),
+    ),
+    "pack_json_edit": (
+        "SELECT event_id, json_set(props, '$.extra', '[1]') AS s, json_remove(props, '$.k') AS r, json_patch(props, '{\"k\":null,\"z\":1}') AS p FROM events",
+        "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"extra\":[1]}' AS s, '{}' AS r, '{\"z\":1}' AS p FROM events",
+        ("events",),
+    ),
+    "pack_fuzzy": (
+        "SELECT a.n_name AS x, b.n_name AS y, fuzzy_leven(a.n_name, b.n_name) AS l, fuzzy_damlev(a.n_name, b.n_name) AS d, round(fuzzy_jarowin(a.n_name, b.n_name), 9) AS j FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey",
+        "SELECT a.n_name AS x, b.n_name AS y, CAST(levenshtein(a.n_name, b.n_name) AS INT) AS l, CAST(damerau_levenshtein(a.n_name, b.n_name) AS INT) AS d, round(jaro_winkler_similarity(a.n_name, b.n_name), 9) AS j FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey",
+        ("nation",),
+    ),
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -292,3 +332,5 @@ ORACLE: dict[str, str] = {
     "hmac_verify": "SELECT c_custkey, c_custkey % 10 <> 0 AS ok FROM customer",
     "field_encryption": "SELECT c_custkey, c_name AS name, TRUE AS refused FROM customer",
 }
+QUERIES |= {k: _packs(v[0], *v[2]) for k, v in PACKS.items()}
+ORACLE |= {k: v[1] for k, v in PACKS.items()}
