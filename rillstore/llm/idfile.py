@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstore.cluster import ship_package
+from rillstore.llm import words as W
 
 FRAMES = "part int, frame int, before long, n_ids long, n_docs long, doc_ids binary, lengths binary, chunk_index binary, payload binary"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -100,7 +101,7 @@ def _writer(path: str, end_id: int, block: int, frame: int, bits: bool):
             names = [x.split()[0] for x in FRAMES.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
-        for b in slices(batches):
+        for b in slices(batches, block=1 << 21):
             ids, counts = own.encode(b.column("text").to_pylist())
             ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
             held.append((np.asarray(b.column("doc_id").fill_null(-1)), counts + 1, ids))
@@ -120,7 +121,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block
     ship_package(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    d.mapInArrow(_writer(tokenizer, end_id, block, frame, bits), FRAMES).write.parquet(f"{path}/frames")
+    d.mapInArrow(W.tidy(_writer(tokenizer, end_id, block, frame, bits)), FRAMES).write.parquet(f"{path}/frames")
 
 
 def _reader(offsets: dict[int, int]):
@@ -150,4 +151,4 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     offsets, at = {}, 0
     for part, n in totals:
         offsets[part], at = at, at + n
-    return frames.select("part", "before", "doc_ids", "lengths", "chunk_index", "payload").mapInArrow(_reader(offsets), RESULT)
+    return frames.select("part", "before", "doc_ids", "lengths", "chunk_index", "payload").mapInArrow(W.tidy(_reader(offsets)), RESULT)

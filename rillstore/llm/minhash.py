@@ -180,7 +180,7 @@ def verify(pairs: DataFrame, texts: DataFrame, p: Near) -> DataFrame:
     t_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     t_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     d = pairs.select("a", "b").join(t_b, "b").join(t_a, "a")
-    return d.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(p), "a long, b long, ok boolean")
+    return d.select("a", "b", "text_a", "text_b").mapInArrow(W.tidy(_verifier(p)), "a long, b long, ok boolean")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def components(docs: DataFrame, p: Near = Near()) -> DataFrame:
     if repeated:
         d = cut(d.groupBy("doc_id").agg(F.min("text").alias("text")))
     kind = "doc_id long, n_shingles long, same_a long, same_b long, bands array<long>"
-    known = cut(d.mapInArrow(_sketcher(p), kind))
+    known = cut(d.mapInArrow(W.tidy(_sketcher(p)), kind))
 
     # Classes of equal sets: only the smallest member goes on.
     own = ["n_shingles", "same_a", "same_b"]
@@ -232,10 +232,10 @@ def components(docs: DataFrame, p: Near = Near()) -> DataFrame:
 
     # Shingles that no other such text has bound every similarity of a text: what two texts share is
     # at most the smaller number of other shingles. Texts that can reach nobody leave.
-    lone = texts.mapInArrow(_shingler(p), "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
+    lone = texts.mapInArrow(W.tidy(_shingler(p)), "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
     lone = lone.filter("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
     facts = ["rep", "n", "own", "component", *[f"p{i}" for i in range(PARITIES)]]
-    odd = texts.mapInArrow(_parities(p), "rep long, " + ", ".join(f"p{i} long" for i in range(PARITIES)))
+    odd = texts.mapInArrow(W.tidy(_parities(p)), "rep long, " + ", ".join(f"p{i} long" for i in range(PARITIES)))
     members = buckets.join(odd.join(lone, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))), "rep")
     members = cut(members.filter(f"100 * (n - own) >= {p.percent} * n"))
     fits = f"100 * least(n_a - own_a, n_b - own_b) >= {p.percent} * (n_a + n_b - least(n_a - own_a, n_b - own_b))"
@@ -278,5 +278,5 @@ def components(docs: DataFrame, p: Near = Near()) -> DataFrame:
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     if repeated:
         out = whole.select("doc_id").filter("doc_id is not null").join(cut(out), "doc_id")
-    rest = whole.filter("doc_id is null").mapInArrow(_sketcher(p), kind)
+    rest = whole.filter("doc_id is null").mapInArrow(W.tidy(_sketcher(p)), kind)
     return out.unionByName(rest.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))

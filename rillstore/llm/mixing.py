@@ -75,7 +75,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], domai
                 x = (np.bincount(slot[first[i] : first[i + 1]], minlength=p.slots) / max(1, first[i + 1] - first[i])).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([b.column("_domain").slice(i, 1), b.column("doc_id").slice(i, 1), pa.array([x.tobytes()], pa.binary())], ["domain", "doc_id", "x"])
 
-    rows = sorted(own.mapInArrow(vectors, "domain string, doc_id long, x binary").collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))  # at most ``sample`` vectors
+    rows = sorted(own.mapInArrow(W.tidy(vectors), "domain string, doc_id long, x binary").collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))  # at most ``sample`` vectors
     k = len(domains)
     if not rows:
         return Classifier(domains, np.zeros((p.slots, k)), np.zeros(k))
@@ -118,7 +118,7 @@ def _unlist(col: pa.Array, k: int) -> np.ndarray:
 def memberships(docs: DataFrame, c: Classifier) -> DataFrame:
     """``doc_id, n_tokens, chances`` of every row."""
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return d.mapInArrow(_memberships(c), "doc_id long, n_tokens long, chances array<double>")
+    return d.mapInArrow(W.tidy(_memberships(c)), "doc_id long, n_tokens long, chances array<double>")
 
 
 def fit_rates(members: DataFrame, targets: Mapping[str, float], domains: list[str], p: Mix = Mix()) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -135,7 +135,7 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float], domains: list[st
                 out += ((own * n[:, None]).T @ own).ravel() if square else (rates(own, steps, p.least) * n) @ own
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["i", "x"])
 
-        rows = members.select("n_tokens", "chances").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        rows = members.select("n_tokens", "chances").mapInArrow(W.tidy(run), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
         out = np.zeros(k * k if square else k)
         for r in rows:
             out[r["i"]] = r["x"]
@@ -177,7 +177,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], p: Mix
             names = pa.array([domains[i] for i in own.argmax(1)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, names, pa.array(rates(own, steps, p.least))], ["doc_id", "n_tokens", "chances", "domain", "rate"])
 
-    out = members.mapInArrow(run, "doc_id long, n_tokens long, chances array<double>, domain string, rate double")
+    out = members.mapInArrow(W.tidy(run), "doc_id long, n_tokens long, chances array<double>, domain string, rate double")
     return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
@@ -197,6 +197,6 @@ def apply(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], p: M
             r = rates(c.chances(b.column("text"))[1], steps, p.least)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(r)], b.schema.names)
 
-    d = d.mapInArrow(run, d.schema)
+    d = d.mapInArrow(W.tidy(run), d.schema)
     again = F.array_repeat(F.lit(1), copies(F.col("_rate"), F.col("doc_id").cast("long")))
     return d.select(*docs.columns, F.explode(again).alias("_copy")).drop("_copy")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillstore.cluster import ship_package
+from rillstore.llm import words as W
 
 RESULT = "page_id long, url string, text string, n_chars long"
 
@@ -430,4 +431,4 @@ def extract(pages: DataFrame, w: dict[str, np.ndarray] | None = None) -> DataFra
     """``page_id, url, text, n_chars`` of every page (columns ``page_id, url, html``)."""
     ship_package(pages.sparkSession)
     d = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return d.mapInArrow(_extractor(w or weights()), RESULT)
+    return d.mapInArrow(W.tidy(_extractor(w or weights())), RESULT)

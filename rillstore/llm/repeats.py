@@ -219,17 +219,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     repeated = bool(d.groupBy("doc_id").count().filter("count > 1").limit(1).count())
     if repeated:
         d = cut(d.groupBy("doc_id").agg(F.min("text").alias("text")))
-    seeds = d.mapInArrow(_seeds(length, anchor), "anchor long, extension long, doc_id long, run long")
+    seeds = d.mapInArrow(W.tidy(_seeds(length, anchor)), "anchor long, extension long, doc_id long, run long")
     seeds = seeds.repartition("anchor").sortWithinPartitions("anchor", "extension", "doc_id", "run")
-    matches = cut(seeds.mapInArrow(_match, "doc_id long, run long, open boolean"))
+    matches = cut(seeds.mapInArrow(W.tidy(_match), "doc_id long, run long, open boolean"))
 
     open_ = matches.filter("open").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-    windows = d.join(open_, "doc_id").mapInArrow(_windows(length, anchor), "window long, doc_id long, run long")
+    windows = d.join(open_, "doc_id").mapInArrow(W.tidy(_windows(length, anchor)), "window long, doc_id long, run long")
     windows = windows.repartition("window").sortWithinPartitions("window", "doc_id", "run")
-    more = windows.mapInArrow(_later, "doc_id long, run long")
+    more = windows.mapInArrow(W.tidy(_later), "doc_id long, run long")
     gone = matches.filter("not open").select("doc_id", "run").unionByName(more).groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-    out = d.join(gone, "doc_id", "left").mapInArrow(_remover(length, with_text), RESULT)
+    out = d.join(gone, "doc_id", "left").mapInArrow(W.tidy(_remover(length, with_text)), RESULT)
     if repeated:
         out = whole.select("doc_id").filter("doc_id is not null").join(cut(out), "doc_id")
     rest = whole.filter("doc_id is null").withColumn("runs", F.lit(None).cast("array<long>"))
-    return out.unionByName(rest.mapInArrow(_remover(length, with_text), RESULT))
+    return out.unionByName(rest.mapInArrow(W.tidy(_remover(length, with_text)), RESULT))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillstore.cluster import ship_package
+from rillstore.llm import words as W
 
 RESULT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -30,7 +31,7 @@ def _counter(path: str, limit: int):
         from rillstore.llm.words import slices
 
         own = pieces(path)
-        for b in slices(batches):
+        for b in slices(batches, block=1 << 21):
             texts = b.column("text")
             n = own.token_counts(texts.to_pylist())
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
@@ -43,4 +44,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     """Bytes and tokens of each text; ``tokenizer`` is the path of a tokenizers file on every machine."""
     ship_package(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return d.mapInArrow(_counter(tokenizer, limit), RESULT)
+    return d.mapInArrow(W.tidy(_counter(tokenizer, limit)), RESULT)

@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxic = Toxic()) -> Model:
                 kin = W.mix(own.view(np.uint64)).min() if len(own) else 0  # near copies mostly share it, and count once
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), y[i], np.int32)), pa.array(np.full(len(own), kin, np.uint64).view(np.int64))], ["term", "toxic", "kin"])
 
-    found = cut(texts.mapInArrow(terms, "term long, toxic int, kin long").distinct())
+    found = cut(texts.mapInArrow(W.tidy(terms), "term long, toxic int, kin long").distinct())
     n = {r["toxic"]: r["n"] for r in found.groupBy("toxic").agg(F.countDistinct("kin").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxic = Toxic()) -> Model:
             rows += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(vocabulary))), pa.array([rows, *df.tolist()], pa.int64())], ["term", "n"])
 
-    df = {r["term"]: r["n"] for r in docs.select(F.col("text").cast("string")).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    df = {r["term"]: r["n"] for r in docs.select(F.col("text").cast("string")).mapInArrow(W.tidy(frequencies), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = np.log((1 + df[-1]) / (1 + np.array([df[i] for i in range(len(vocabulary))])))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxic = Toxic()) -> Model:
             cols = [b.column("doc_id"), b.column("toxic"), pa.array(lists, pa.list_(pa.int64())), pa.array([r[i] for r, i in zip(x, lists, strict=True)], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "toxic", "terms", "counts"])
 
-    rows = texts.mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, counts array<float>").collect()
+    rows = texts.mapInArrow(W.tidy(vectors), "doc_id long, toxic int, terms array<long>, counts array<float>").collect()
     rows = sorted((r for r in rows if r["terms"]), key=lambda r: (r["toxic"], r["terms"], r["doc_id"]))  # like examples share blocks
     if not rows:
         return empty
@@ -249,4 +249,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     ship_package(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("held_out", held_out())
-    return d.mapInArrow(run, RESULT)
+    return d.mapInArrow(W.tidy(run), RESULT)
