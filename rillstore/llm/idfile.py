@@ -101,8 +101,8 @@ def _writer(path: str, end_id: int, block: int, frame: int, bits: bool):
             names = [x.split()[0] for x in FRAMES.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
-        for b in slices(batches, block=1 << 21):
-            ids, counts = own.encode(b.column("text").to_pylist())
+        for b in slices(batches, block=3 << 20):
+            ids, counts = own.encode(b.column("text"))
             ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
             held.append((np.asarray(b.column("doc_id").fill_null(-1)), counts + 1, ids))
             size += len(ids)

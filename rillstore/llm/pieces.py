@@ -3,21 +3,30 @@
 The vocabulary's splitting pattern puts a boundary before every single space that is followed by
 something other than white space, whatever stands before it. So a text without other white space
 after its spaces, and without the strings of added tokens, can be cut there: the ids of the whole
-are the ids of the pieces, one after the other. Other texts are given to the library whole.
+are the ids of the pieces, one after the other. Likewise a line's end between two characters that are not
+white space is a pre-token of its own. Other texts are given to the library whole.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct pieces a worker remembers; beyond it forgets them all and begins anew.
-MEMORY = 600_000
-#: Marks a piece that begins a text; such texts are not cut if they hold it themselves.
+MEMORY = 450_000
+#: Marks a piece that no space stands before; texts that hold it themselves are not cut.
 FIRST = "\x00"
-_UNSAFE = re.compile(r" \s| \Z")
+#: Byte-level BPE shows bytes as characters; those that are not themselves, of the bytes from 0x80 on.
+_SHOWN = {b: chr(0x100 + 33 + i) for i, b in enumerate([*range(0x7F, 0xA1)])} | {0xAD: chr(0x143)}
+# Unicode's white space.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Texts not to be cut: white space after a space, a space at the end, or the mark below.
+_UNSAFE = rf" {_WHITE}| \z|\x00"
+#: Texts not to be cut at the ends of lines: one is next to other white space, or to the text's start or end.
+_LINES = rf"\A\n|\n\z|\n{_WHITE}|{_WHITE}\n"
 
 
 class Pieces:
@@ -43,6 +52,7 @@ class Pieces:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids whose bytes begin with a space
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self.stops = {c: i for c in ",." if (i := self.tokenizer.token_to_id(c)) is not None}
         self.seen: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)  # the ids of all pieces, end to end
         self.end = np.zeros(1 << 16, np.int64)  # where each piece's ids end; [0] is 0
@@ -65,6 +75,24 @@ class Pieces:
     def _encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
+    def _encode_words(self, new: list[str]) -> tuple[list[str], list[int], list[int]]:
+        """Of some pieces, those of Latin letters, perhaps with a comma or full stop: each letters' run is
+        one pre-token and goes to the model as such. Gives them, their ids and lengths."""
+        tokenize, own, ids, lengths = self.tokenizer.model.tokenize, [], [], []
+        for p in new:
+            end = self.stops.get(p[-1:])
+            first = p[:1] == FIRST
+            word = p[first : None if end is None else -1]
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                text = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+                got = [t.id for t in tokenize(text if first else "\u0120" + text)]
+                if end is not None:
+                    got.append(end)
+                own.append(p)
+                ids += got
+                lengths.append(len(got))
+        return own, ids, lengths
+
     def _encode_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces that follow a space, all in one call, and their lengths: every piece begins,
         and no piece goes on, with an id that begins with a space."""
@@ -87,48 +115,61 @@ class Pieces:
         self.end[n + 1 : n + 1 + len(lengths)] = top + np.cumsum(lengths)
         self.known = n + len(lengths)
 
-    def cut(self, text: str) -> list[str] | None:
-        """The pieces of a text, all but the first without the space they begin with; None if it can't be cut."""
-        if not self.pre_split or FIRST in text or _UNSAFE.search(text) or any(a in text for a in self.added):
-            return None
-        return text.split(" ")
-
-    def lookup(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """For the texts that can be cut: the number of every piece, in order, and how many pieces
-        each text has. For the others: their positions and their texts."""
-        if self.known > MEMORY:
-            self._forget()
-        parts, sizes, whole, at = [], np.zeros(len(texts), np.int64), [], []
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            p = self.cut(t)
-            if p is None:
-                whole.append(t)
-                at.append(i)
-                continue
-            sizes[i] = len(p)
-            p[0] = FIRST + p[0]  # begins a text: no space before it
-            parts += p
+    def cuttable(self, texts: pa.Array) -> np.ndarray:
+        """Which texts may be cut at spaces (empty ones need not be)."""
+        n = len(texts)
+        if not self.pre_split:
+            return np.zeros(n, bool)
+        bad = np.asarray(pc.match_substring_regex(texts, _UNSAFE))
+        for a in self.added:
+            bad = bad | np.asarray(pc.match_substring(texts, a))
+        return ~bad & (np.asarray(pc.binary_length(texts)) > 0)
+
+    def _number(self, distinct: list[str]) -> np.ndarray:
+        """The number of each piece; new ones are encoded and learnt."""
         seen = self.seen
-        numbers = np.fromiter((seen.get(p, -1) for p in parts), np.int64, len(parts))
-        missing = np.flatnonzero(numbers < 0)
-        if len(missing):
-            new = dict.fromkeys(parts[i] for i in missing.tolist())
-            first = [p for p in new if p[:1] == FIRST]
-            rest = [p for p in new if p[:1] != FIRST]
+        numbers = np.fromiter((seen.get(p, -1) for p in distinct), np.int64, len(distinct))
+        missing = np.flatnonzero(numbers < 0).tolist()
+        if missing:
+            new = dict.fromkeys(distinct[i] for i in missing)
+            words, ids, lengths = self._encode_words(list(new))
+            done = set(words)
+            first = [p for p in new if p[:1] == FIRST and p not in done]
+            rest = [p for p in new if p[:1] != FIRST and p not in done]
             base = self.known
             if first:
                 own = self._encode([p[1:] for p in first])
                 self._learn(np.concatenate(own), np.fromiter(map(len, own), np.int64, len(own)))
+            if words:
+                self._learn(np.asarray(ids, np.uint32), np.asarray(lengths, np.int64))
             if rest:
                 self._learn(*self._encode_pieces(rest))
-            seen.update(zip([*first, *rest], range(base, self.known), strict=True))
-            numbers[missing] = [seen[parts[i]] for i in missing.tolist()]
+            seen.update(zip([*first, *words, *rest], range(base, self.known), strict=True))
+            numbers[missing] = [seen[distinct[i]] for i in missing]
+        return numbers
+
+    def lookup(self, texts: Sequence[str] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """For the texts that can be cut: the number of every piece, in order, and how many pieces
+        each text has. For the others: their positions and their texts."""
+        if self.known > MEMORY:
+            self._forget()
+        col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        col = pc.fill_null(col, "") if col.null_count else col
+        safe, sizes = self.cuttable(col), np.zeros(len(col), np.int64)
+        whole = np.flatnonzero(~safe & (np.asarray(pc.binary_length(col)) > 0))
+        own = col.filter(pa.array(safe))
+        parted = pc.invert(pc.match_substring_regex(own, _LINES))
+        lists = pc.split_pattern(pc.if_else(parted, pc.replace_substring(own, "\n", f" {FIRST}\n {FIRST}"), own), " ")
+        sizes[safe] = np.diff(np.asarray(lists.offsets))
+        codes = lists.flatten().dictionary_encode()
+        numbers = self._number(codes.dictionary.to_pylist())[np.asarray(codes.indices)] if len(codes) else np.zeros(0, np.int64)
+        if len(numbers):  # a text's first piece has no space before it
+            at = np.cumsum(sizes[safe]) - sizes[safe]  # no mark yet: a text that begins with a line's end is not parted
+            numbers[at] = self._number([FIRST + p for p in codes.take(pa.array(at)).cast(pa.string()).to_pylist()])
         self.hits[: self.known] += np.bincount(numbers, minlength=self.known).astype(np.int32)
-        return numbers, sizes, np.asarray(at, np.int64), whole
+        return numbers, sizes, whole, col.take(pa.array(whole)).to_pylist()
 
-    def token_counts(self, texts: Sequence[str]) -> np.ndarray:
+    def token_counts(self, texts: Sequence[str] | pa.Array) -> np.ndarray:
         """Tokens of each text: distinct pieces are counted once and joined to the texts' pieces."""
         numbers, sizes, at, whole = self.lookup(texts)
         total = np.concatenate([[0], np.cumsum(self.end[numbers + 1] - self.end[numbers])])
@@ -138,7 +179,7 @@ class Pieces:
             out[at] = [len(x) for x in self._encode(whole)]
         return out
 
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: Sequence[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and the number of ids of each."""
         numbers, sizes, at, whole = self.lookup(texts)
         begin, length = self.end[numbers], self.end[numbers + 1] - self.end[numbers]

@@ -31,9 +31,9 @@ def _counter(path: str, limit: int):
         from rillstore.llm.words import slices
 
         own = pieces(path)
-        for b in slices(batches, block=1 << 21):
+        for b in slices(batches):
             texts = b.column("text")
-            n = own.token_counts(texts.to_pylist())
+            n = own.token_counts(texts)
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, pa.array(n, pa.int64()), pa.array(np.greater(n, limit))], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

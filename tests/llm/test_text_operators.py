@@ -62,7 +62,7 @@ def test_quality_edge_cases(edge, none):
 
 
 # --- tokens and id files -----------------------------------------------------------------------
-ODD = ["", "a  b", " a", "a ", "\n \n", "a \nb", "a <|endoftext|> b", "\x00a \x00b", "x   y", "it's 'll  've", "\x1c a \x1cb", "a \x85b", "é ü 日本 \U0001f600", "1 2  3\t 4", "a,b ,c. ' 's"]
+ODD = ["", "a  b", " a", "a ", "\n \n", "a \nb", "a <|endoftext|> b", "\x00a \x00b", "x   y", "it's 'll  've", "\x1c a \x1cb", "a \x85b", "é ü 日本 \U0001f600", "1 2  3\t 4", "a,b ,c. ' 's", "one.\ntwo, three\nfour", "\na b", "a b\n", "a\n\nb c", "a \n b", "a\r\nb c", "x.\n's y\n,z", "é.\nÀb ç,\nd"]
 
 
 def test_pieces_equal_the_library(tokenizer):
@@ -82,8 +82,8 @@ def test_pieces_forget_and_stay_right(tokenizer, monkeypatch):
         assert ids.tolist() == sum((e.ids for e in p.tokenizer.encode_batch(texts, add_special_tokens=False)), [])
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(max_size=40), max_size=4))
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=40), st.text(alphabet="abé,.' \n\t\u00a0!1", max_size=40)), max_size=4))
 def test_pieces_on_any_text(texts):
     P = pytest.importorskip("public_tokenizers")
     p = test_pieces_on_any_text.__dict__.setdefault("p", Pieces(P.path("byte_bpe_50k.json")))
