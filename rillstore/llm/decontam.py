@@ -1,11 +1,11 @@
-"""Benchmark decontamination by spaced-seed hashing.
+"""Benchmark decontamination by exact seeds that no accepted passage can avoid.
 
-Tokens are lower-cased runs of letters and digits, hashed to 64 bits. Every window of ``SPAN`` tokens is
-hashed under each of the fixed masks, which ignore some places, so a window with substituted tokens
-in ignored places still meets the benchmark's. Benchmark and documents are joined on these hashes.
-Every hit names a document, an item and an alignment; the alignment is then verified around the hit,
-token by token: the document is contaminated if ``overlap`` consecutive aligned tokens (or the whole
-item, if shorter) have at least ``percent`` equal. Items shorter than ``SPAN`` tokens are sought whole.
+Tokens are lower-cased runs of letters and digits, hashed to 64 bits. A passage of ``w`` aligned tokens
+(``overlap``, or the whole item, if shorter) is accepted with at most ``s`` of them substituted; these part
+the others into at most ``s + 1`` runs, so one run has at least ``(w - s) / (s + 1)`` tokens, rounded up. All
+windows of that length (4 for 16 of 20) are hashed and joined, so every accepted passage is met, wherever
+its substitutions lie. Every hit names a document, an item and an alignment; the alignment is then verified,
+token by token: the document is contaminated if ``w`` consecutive aligned tokens have at least ``percent`` equal.
 
 Only DataFrame functions are used. The benchmark's hashes are broadcast when counted and found to be
 few (``broadcast_rows``); beyond, the same join shuffles. Documents are never grouped but by their own
@@ -23,43 +23,33 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The masks, of one length; 1 marks a token that is hashed.
-MASKS = ("111010010111", "110101101011", "101110011101")
-SPAN = len(MASKS[0])
-
-
 @dataclass(frozen=True)
 class Overlap:
     overlap: int = 20
     percent: int = 80
     broadcast_rows: int = 500_000
 
+    def seed(self, n: int) -> int:
+        """Length of the run of equal tokens that every accepted passage of an item of ``n`` tokens has."""
+        w = min(self.overlap, n)
+        equal = -(-w * self.percent // 100)
+        return max(1, -(-equal // (w - equal + 1)))
 
-def token_hashes(text: Column) -> Column:
-    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
-    return F.transform(words, lambda w: F.xxhash64(w))
-
-
-def _keys(tokens: Column, at: Column) -> Column:
-    """The hash of the window from ``at`` on under each mask."""
-    return F.array(*[F.xxhash64(F.lit(m), *[tokens[at + i] for i, x in enumerate(mask) if x == "1"]) for m, mask in enumerate(MASKS)])
 
+# The seed of items that are as long as the overlap or longer; 1 marks a token that is hashed.
+SPAN = Overlap().seed(Overlap().overlap)
+MASKS = ("1" * SPAN,)
 
-def _whole(tokens: Column, at: Column, n: int) -> Column:
-    return F.xxhash64(F.lit(f"whole{n}"), *[tokens[at + i] for i in range(n)])
 
-
-def _windows(d: DataFrame, ids: list[str], n: int) -> DataFrame:
-    """A row for each window of ``n`` tokens: its place ``at``."""
-    return d.filter(F.size("tokens") >= n).select(*ids, "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - n)).alias("at"))
+def token_hashes(text: Column) -> Column:
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _hashed(d: DataFrame, ids: list[str], short: list[int]) -> DataFrame:
-    """``ids, at, key`` of all windows under all masks, and of windows of the short lengths."""
-    out = _windows(d, ids, SPAN).select(*ids, "at", F.explode(_keys(F.col("tokens"), F.col("at"))).alias("key"))
-    for n in short:
-        out = out.unionByName(_windows(d, ids, n).select(*ids, "at", _whole(F.col("tokens"), F.col("at"), n).alias("key")))
-    return out
+def _hashed(d: DataFrame, ids: list[str], n: int) -> DataFrame:
+    """``ids, at, key`` of all windows of ``n`` tokens."""
+    d = d.filter(F.size("tokens") >= n).select(*ids, "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - n)).alias("at"))
+    return d.select(*ids, "at", F.xxhash64(F.lit(n), *[F.col("tokens")[F.col("at") + i] for i in range(n)]).alias("key"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, p: Overlap = Overlap()) -> DataFrame:
@@ -69,23 +59,27 @@ def find(docs: DataFrame, benchmark: DataFrame, p: Overlap = Overlap()) -> DataF
     """
     d = docs.select(F.col("doc_id").cast("long"), token_hashes(F.col("text")).alias("tokens")).filter("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("long"), token_hashes(F.col("text")).alias("tokens")).filter("item_id is not null and size(tokens) > 0")
-    short = [r[0] for r in items.filter(F.size("tokens") < SPAN).select(F.size("tokens")).distinct().collect()]  # at most SPAN - 1 numbers
-    seeds = _hashed(items.filter(F.size("tokens") >= SPAN), ["item_id"], []).withColumnRenamed("at", "item_at")
-    for n in short:
-        own = items.filter(F.size("tokens") == n)
-        seeds = seeds.unionByName(own.select("item_id", F.lit(0).alias("item_at"), _whole(F.col("tokens"), F.lit(0), n).alias("key")))
-    seeds = seeds.distinct()
-    few = items.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0] * len(MASKS) <= p.broadcast_rows
+    items = items.withColumn("n", F.size("tokens"))
+    lengths: dict[int, list[int]] = {}  # of a seed: the items' lengths, those from the overlap on as one; at most ``overlap`` numbers
+    for r in items.select(F.least("n", F.lit(p.overlap))).distinct().collect():
+        lengths.setdefault(p.seed(r[0]), []).append(r[0])
+    few = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= p.broadcast_rows
     sized = F.broadcast if few else (lambda x: x)
+    seeds, sought = items.limit(0).select("item_id", "n", F.lit(0).alias("item_at"), F.lit(0).cast("long").alias("key")), d.limit(0).select("doc_id", F.lit(0).alias("at"), F.lit(0).cast("long").alias("key"))
+    for length, ns in sorted(lengths.items()):
+        own = items.filter(F.least("n", F.lit(p.overlap)).isin(ns))
+        seeds = seeds.unionByName(_hashed(own, ["item_id", "n"], length).withColumnRenamed("at", "item_at"))
+        sought = sought.unionByName(_hashed(d, ["doc_id"], length))
+    seeds = seeds.distinct()
 
-    hits = _hashed(d, ["doc_id"], short).join(sized(seeds), "key").select("doc_id", F.struct("item_id", (F.col("at") - F.col("item_at")).alias("shift")).alias("hit"))
+    hits = sought.join(sized(seeds), "key").select("doc_id", F.struct("item_id", "n", (F.col("at") - F.col("item_at")).alias("shift")).alias("hit"))
     hits = hits.distinct().groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))
     rows = d.join(hits, "doc_id").select("doc_id", "tokens", F.explode("hits").alias("hit")).select("doc_id", "tokens", "hit.*")
-    n_item = items.select("item_id", F.size("tokens").alias("n"), F.col("tokens").alias("item_tokens"))
     start = F.greatest(F.lit(0), F.col("shift"))
-    rows = rows.join(sized(n_item), "item_id")
     length = F.least(F.size("tokens"), F.col("shift") + F.col("n")) - start
-    rows = rows.select("doc_id", "item_id", "shift", "n", F.slice("tokens", start + 1, length).alias("own"), F.slice("item_tokens", start - F.col("shift") + 1, length).alias("theirs"))
+    rows = rows.select("doc_id", "item_id", "shift", "n", start.alias("start"), F.slice("tokens", start + 1, length).alias("own"))
+    rows = rows.join(sized(items.withColumnRenamed("tokens", "item_tokens")), ["item_id", "n"])
+    rows = rows.withColumn("theirs", F.slice("item_tokens", F.col("start") - F.col("shift") + 1, F.size("own")))
     rows = rows.withColumn("same", F.zip_with("own", "theirs", lambda x, y: (x == y).cast("int")))
     w = F.least(F.lit(p.overlap), F.col("n"))
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from rillstore.llm.decontam import MASKS, SPAN, Overlap
+from rillstore.llm.decontam import Overlap
+
+# The three seeds the SQL is written for, as they were; the operator's own seeds miss nothing that these meet.
+MASKS = ("111010010111", "110101101011", "101110011101")
+SPAN = len(MASKS[0])
 
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 import zlib
@@ -173,6 +174,36 @@ def test_decontamination_edge_cases(spark, edge, none):
     assert decontam.judge(none, items).count() == 0 and decontam.judge(edge, items.limit(0)).filter("contaminated").count() == 0
 
 
+def test_seeds_meet_every_accepted_passage():
+    p = decontam.Overlap()
+    for n in range(1, 21):
+        least = -(-n * p.percent // 100)
+        for gone in itertools.combinations(range(n), n - least):  # fewer substitutions only lengthen the runs
+            cuts = [-1, *gone, n]
+            assert max(b - a - 1 for a, b in itertools.pairwise(cuts)) >= p.seed(n)
+
+
+def test_decontamination_equals_alignments_without_seeds(spark):
+    rng = random.Random(11)
+    items = [(n, [f"i{n}x{k}" for k in range(n)]) for n in (1, 4, 5, 6, 7, 10, 11, 12, 15, 16, 19, 20, 60)]
+    docs = []
+    for n, w in items:
+        least = -(-min(n, 20) * 80 // 100)
+        subs = [set(x) for x in itertools.islice(itertools.combinations(range(n), min(n, 20) - least), 0, 5000, 400)]
+        subs += [set(rng.sample(range(n), min(n, 20) - least + e)) for e in (0, 0, 0, 0, 0, 1, 1)] + [set(range(a, n, 6)) for a in range(6)]
+        docs += [["a", "b", *[f"z{k}" if k in s else x for k, x in enumerate(w)], "c"] for s in subs]
+    want = set()
+    for d, t in enumerate(docs):
+        for i, w in items:
+            for shift in range(-len(w) + 1, len(t)):
+                same = [w[k] == t[k + shift] for k in range(len(w)) if 0 <= k + shift < len(t)]
+                m = min(20, len(w))
+                if any(sum(same[x : x + m]) * 100 >= m * 80 for x in range(len(same) - m + 1)):
+                    want.add((d, i, shift))
+    found = decontam.find(spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    assert {tuple(r) for r in found.select("doc_id", "item_id", "shift").collect()} == want
+
+
 # --- chat --------------------------------------------------------------------------------------
 def test_chat_views(spark):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "Ann", "Hi"), (1, 2, "Bob", "Hello\nthere"), (1, 3, "Ann", None), (1, None, "", "late"), (2, 0, "system", "alone"), (None, 0, "Ann", "lost"), (3, 700, "Ann", "far"), (3, 5, "Bob", "near"), (3, 5, "Bob", "near")]
