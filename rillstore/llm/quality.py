@@ -42,6 +42,7 @@ class Rules:
     shout_share: int = 30  # per cent: exclamation marks a word
     min_distinct_share: int = 25  # per cent of distinct words in a line of ten or more
     max_lost: int = 30  # per cent of word characters that removed junk lines may hold
+    short_line: int = 8  # words of a line that one boilerplate phrase removes
 
 
 def words_of(text: Column) -> Column:
@@ -64,10 +65,16 @@ def line_failures(line: Column, words: Column, rules: Rules) -> Column:
 
 
 def is_boilerplate(line: Column) -> Column:
-    """Site furniture and licence notices: removed, but not held against a document."""
+    """Whether a line names site furniture or a licence notice: counted, but not held against a document."""
     return F.lower(line).rlike(r"\b(?:" + "|".join(BOILERPLATE) + ")")
 
 
+def is_furniture(line: Column, rules: Rules) -> Column:
+    """Whether a boilerplate line is little else: whole phrases make up half of it, or it is short."""
+    phrases = F.length(line) - F.length(F.regexp_replace(F.lower(line), r"\b(?:" + "|".join(BOILERPLATE) + r")\b", ""))
+    return (phrases > 0) & ((F.size(words_of(line)) <= rules.short_line) | (phrases * 2 >= F.length(F.trim(line))))
+
+
 def _repeat_words(words: Column, n: Column) -> Column:
     """Words covered by windows of three that occur twice or more in the same text.
 
@@ -104,7 +111,8 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     Needs a ``text`` column. ``lost_chars`` are the word characters of junk lines. A document is
     rejected when it fails the base rules or when junk lines hold more than ``max_lost`` per cent of
-    its word characters; boilerplate lines are removed from the text without counting as lost.
+    its word characters. ``n_lines_removed`` counts junk lines and all that name boilerplate;
+    ``clean_text`` lacks the junk lines and those boilerplate lines that are little else.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "n_lines_removed", "clean_text", "kept"]
@@ -119,7 +127,7 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         )[0],
     )  # with each line the word characters it loses as junk, -1 for boilerplate, else 0
     d = d.withColumn("_judged", judged)
-    good = F.transform(F.filter("_judged", lambda x: x["bad"] == 0), lambda x: x["line"])
+    good = F.transform(F.filter("_judged", lambda x: (x["bad"] == 0) | ((x["bad"] == -1) & ~is_furniture(x["line"], rules))), lambda x: x["line"])
     d = d.withColumns({
         # Not deterministic by its mark, so that a filter on the verdict is not moved below and all worked out twice.
         "n_words": F.when(F.monotonically_increasing_id() >= 0, F.col("_n").cast("long")),
@@ -136,6 +144,15 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return d.drop("_words", "_lines", "_worded", "_judged", "_n")
 
 
+def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The kept rows of :func:`judge` whose cleaned text passes the base rules too."""
+    d = judge(docs, rules).filter("kept")
+    d = d.withColumn("_clean", F.when(F.col("n_lines_removed") > 0, words_of(F.col("clean_text"))))  # null where nothing went
+    n = F.size("_clean")
+    failed = (n < rules.min_words) | (_repeat_words(F.col("_clean"), n) * 100 > n * rules.max_repeat_share)
+    return d.filter(F.col("_clean").isNull() | ~failed).drop("_clean")
+
+
 RESULT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "n_lines_removed", "kept")
 
 ORACLE = r"""

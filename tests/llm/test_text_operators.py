@@ -53,6 +53,17 @@ def test_quality_rules(spark):
     assert not any(got[10 + i]["kept"] for i in range(len(bad)))
 
 
+def test_boilerplate_takes_no_prose(spark):
+    say = lambda a, n: " ".join(f"word{a}x{i}" for i in range(n))
+    prose = say(0, 400) + " read more about it, or click here, " + say(1, 400)
+    page = say(2, 60) + ".\nRead more\nWe use cookies. Privacy policy | Terms of use | Cookie policy | All rights reserved | Powered by us\nThe terms of users"
+    furniture = "\n".join(f"Click here {i} read more" for i in range(40))
+    mostly = say(3, 40) + "\n" + furniture
+    rows = [(1, prose), (2, page), (3, furniture), (4, mostly), (5, say(4, 60))]
+    got = {r["doc_id"]: r["clean_text"] for r in quality.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: prose, 2: say(2, 60) + ".\nThe terms of users", 5: say(4, 60)}
+
+
 def test_quality_edge_cases(edge, none):
     out = quality.judge(edge)
     assert out.columns.count("kept") == 1 and "anchor" in out.columns
