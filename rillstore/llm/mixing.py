@@ -3,8 +3,10 @@
 A softmax classifier over hashed words, fitted to a bounded sample of the labelled table, gives every
 document its chances of belonging to each domain. A document's rate is how often it is expected in
 the mix. The rates minimise the squared distance, in units of the targets, between the expected token
-totals of the domains and the targets, over nonnegative rates, by projected gradient from 1: every step
-sums rate x tokens x chances over all documents where they are, and only one number a domain moves.
+totals of the domains and the targets, over nonnegative rates, and stay as near to 1 as that allows. Such
+rates are 1 less the chances times one number a domain, held at the bound; these numbers are found by
+Newton's method: every step sums rate x tokens x chances, and their products over the documents off the bound,
+where they are, and only these sums move. Totals that miss the targets are reported by a warning.
 Unless ``shrink`` is set, the targets' sum is such that no domain needs to shrink and rates are held at
 1 or more, so every document stays.
 
@@ -15,6 +17,7 @@ sample every domain is equally likely; an empty table gives no rows.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -122,40 +125,58 @@ def memberships(docs: DataFrame, c: Classifier) -> DataFrame:
 
 
 def fit_rates(members: DataFrame, targets: Mapping[str, float], domains: list[str], p: Mix = Mix()) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The projected steps, the expected token totals they reach, and the targets in tokens."""
+    """The one projected step, the expected token totals it reaches, and the targets in tokens."""
     k = len(domains)
     weight = np.array([targets[d] for d in domains], float)
     weight /= weight.sum()
 
-    def totals(steps: list[np.ndarray], square: bool) -> np.ndarray:
+    def sums(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """After the step ``z``: totals, products of chances off the bound, and the cost whose slope is minus the totals."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(k * k if square else k)
+            out = np.zeros(k + k * k + 1)
             for b in batches:
                 n, own = np.asarray(b.column("n_tokens")).astype(float), _unlist(b.column("chances"), k)
-                out += ((own * n[:, None]).T @ own).ravel() if square else (rates(own, steps, p.least) * n) @ own
+                r, free = rates(own, [z], p.least), 1 - own @ z > p.least
+                # Where no rate has moved, the bound does not hold yet.
+                free |= not z.any()
+                out[:k] += (r * n) @ own
+                out[k:-1] += ((own * (n * free)[:, None]).T @ own).ravel()
+                out[-1] += n @ np.where(free, r * r / 2, p.least * (1 - own @ z) - p.least**2 / 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["i", "x"])
 
         rows = members.select("n_tokens", "chances").mapInArrow(W.tidy(run), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(k * k if square else k)
+        out = np.zeros(k + k * k + 1)
         for r in rows:
             out[r["i"]] = r["x"]
-        return out
+        return out[:k], out[k:-1].reshape(k, k), out[-1]
 
-    now = totals([], False)
+    z = np.zeros(k)
+    now, gram, cost = sums(z)
     if not now.sum():
         return [], now, now
     target = weight * (now.sum() if p.shrink else (1 + p.margin) * (now / np.maximum(weight, 1e-12)).max())
-    # The curvature, in units of the targets and per token, bounds the step.
-    scale = np.sqrt(np.maximum(target, 1e-12))
-    gram = totals([], True).reshape(k, k) / scale[:, None] / scale
-    rate = 1 / np.linalg.eigvalsh(gram)[-1]
-    steps: list[np.ndarray] = []
+    # Squared distances weigh so much more than the distance of the rates from 1 that the latter only settles ties.
+    tie = 1e-9 * np.maximum(target, 1e-12)
     for _ in range(p.steps):
-        if np.abs(now - target).max() <= p.close * target.max():
+        slope = target - now + tie * z
+        if np.abs(now - target).max() <= p.close * target.max() or np.abs(slope).max() <= 0.01 * p.close * target.max():
+            break
+        move = -np.linalg.solve(gram + np.diag(tie), slope)
+        share = 1.0
+        while share > 1e-6:  # halved until the cost falls
+            y = z + share * move
+            new, new_gram, new_cost = sums(y)
+            if new_cost - cost + target @ (y - z) + tie @ (y * y - z * z) / 2 <= 1e-4 * share * (slope @ move):
+                break
+            share /= 2
+        else:
             break
-        steps.append(rate * (now - target) / np.maximum(target, 1e-12))
-        now = totals(steps, False)
-    return steps, now, target
+        z, now, gram, cost = y, new, new_gram, new_cost
+    if np.abs(now - target).max() > p.close * target.max():
+        reached = ", ".join(f"{d} {a / now.sum():.4f} of {w:.4f}" for d, a, w in zip(domains, now, weight, strict=True))
+        warnings.warn(f"the mix does not reach its targets; shares of tokens: {reached}", stacklevel=2)
+    return [z], now, target
 
 
 def copies(rate, doc_id):

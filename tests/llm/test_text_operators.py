@@ -353,6 +353,28 @@ def test_mix_meets_targets(spark, none):
     assert mixing.mix(none, labels, {"en": 1.0}).count() == 0 and mixing.apply(none, labels, {"en": 1.0}).count() == 0
 
 
+@pytest.mark.parametrize("shares", [(0.97, 0.01, 0.01, 0.01), (0.001, 0.997, 0.001, 0.001), (0.64, 0.08, 0.14, 0.14)])
+@pytest.mark.parametrize("soft", [0.0, 0.1])
+def test_mix_reaches_targets_of_scarce_domains(spark, shares, soft):
+    domains = ["de", "en", "es", "fr"]
+    rng = np.random.default_rng(3)
+    rows = [(int(1e6 * s / 5), ((1 - soft) * np.eye(4)[i] + soft * rng.dirichlet([1] * 4)).tolist()) for i, s in enumerate(shares) for _ in range(5)]
+    members = spark.createDataFrame(rows, "n_tokens long, chances array<double>")
+    for p in (mixing.Mix(), mixing.Mix(shrink=True)):
+        steps, now, target = mixing.fit_rates(members, {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}, domains, p)
+        n, own = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        r = mixing.rates(own, steps, p.least)
+        assert np.allclose((r * n) @ own, now) and (r >= p.least).all()
+        assert np.abs(now - target).max() <= p.close * target.max()
+
+
+def test_mix_reports_totals_off_their_targets(spark):
+    members = spark.createDataFrame([(10, [0.5, 0.5]), (20, [0.5, 0.5])], "n_tokens long, chances array<double>")
+    with pytest.warns(UserWarning, match="does not reach"):
+        steps, now, _ = mixing.fit_rates(members, {"a": 0.9, "b": 0.1}, ["a", "b"])
+    assert np.isfinite(now).all() and now[0] == pytest.approx(now[1])
+
+
 def test_rates_are_projected():
     p = np.array([[1.0, 0.0], [0.0, 1.0]])
     assert mixing.rates(p, [np.array([3.0, -0.5]), np.array([-0.25, 0.0])], 0.0).tolist() == [0.25, 1.5]
