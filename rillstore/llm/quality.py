@@ -42,6 +42,7 @@ class Rules:
     shout_share: int = 30  # per cent: exclamation marks a word
     min_distinct_share: int = 25  # per cent of distinct words in a line of ten or more
     max_lost: int = 30  # per cent of word characters that removed junk lines may hold
+    window: int = 0  # words over which distinct ones are judged; 0: the whole line, as in the SQL
     short_line: int = 8  # words of a line that one boilerplate phrase removes
 
 
@@ -53,13 +54,25 @@ def _count(line: Column, pattern: str) -> Column:
     return F.length(line) - F.length(F.regexp_replace(line, pattern, ""))
 
 
+def _monotone(words: Column, rules: Rules) -> Column:
+    """Whether a line, or half of a long line's windows, has too few distinct words; that share falls with length in any text."""
+    few = lambda w: F.size(F.array_distinct(w)) * 100 < F.size(w) * rules.min_distinct_share
+    n = F.size(words)
+    if not rules.window:
+        return (n >= 10) & few(words)
+    last = n - rules.window  # the last window overlaps the one before it
+    starts = F.array_union(F.sequence(F.lit(0), last, F.lit(rules.window)), F.array(last))
+    failing = F.transform(F.array(starts), lambda xs: F.size(F.filter(xs, lambda i: few(F.slice(words, i + 1, rules.window)))) * 2 >= F.size(xs))[0]
+    return (n >= 10) & F.when(n <= rules.window, few(words)).otherwise(failing)
+
+
 def line_failures(line: Column, words: Column, rules: Rules) -> Column:
     """Whether a line is junk: symbols, shouting, repetition or navigation instead of sentences."""
     n = F.size(words)
     symbols = (F.length(line) - F.length(F.regexp_replace(line, SYMBOLS, ""))) * 100 >= n * rules.symbol_share
     bangs = _count(line, "!") * 100 >= n * rules.shout_share
     capitals = (line == F.upper(line)) & (line != F.lower(line)) & (n >= 3)
-    monotone = (n >= 10) & (F.size(F.array_distinct(words)) * 100 < n * rules.min_distinct_share)
+    monotone = _monotone(words, rules)
     navigation = (n >= 2) & F.forall(words, lambda w: F.lower(F.regexp_replace(w, r"[\p{P}\p{S}]", "")).isin("", *NAVIGATION))
     return ((n >= 3) & (symbols | bangs)) | capitals | monotone | navigation
 
@@ -147,7 +160,8 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The kept rows of :func:`judge` whose cleaned text passes the base rules too."""
     d = judge(docs, rules).filter("kept")
-    d = d.withColumn("_clean", F.when(F.col("n_lines_removed") > 0, words_of(F.col("clean_text"))))  # null where nothing went
+    # Null where nothing went; not deterministic by its mark, so that the filter is not moved below and splits again for every word.
+    d = d.withColumn("_clean", F.when((F.col("n_lines_removed") > 0) & (F.monotonically_increasing_id() >= 0), words_of(F.col("clean_text"))))
     n = F.size("_clean")
     failed = (n < rules.min_words) | (_repeat_words(F.col("_clean"), n) * 100 > n * rules.max_repeat_share)
     return d.filter(F.col("_clean").isNull() | ~failed).drop("_clean")

@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from rillstore.llm import chat, decontam, idfile, mixing, pages, quality, tokens, toxicity
 from rillstore.llm.pieces import Pieces
 
@@ -64,6 +65,19 @@ def test_boilerplate_takes_no_prose(spark):
     assert got == {1: prose, 2: say(2, 60) + ".\nThe terms of users", 5: say(4, 60)}
 
 
+def test_long_clean_line_is_not_monotone(spark):
+    rng = random.Random(6)
+    common = [f"w{k}" for k in range(1500)]
+    book = " ".join(rng.choice(common) for _ in range(20_000))  # distinct words: 7.5 % of all, most of a window's
+    spam = " ".join(f"same{rng.randrange(60)}" for _ in range(5_000))
+    tail = " ".join(f"same{rng.randrange(60)}" for _ in range(700))
+    df = spark.createDataFrame([(1, book), (2, spam), (3, tail)], "doc_id long, text string")
+    assert {r["doc_id"] for r in quality.clean(df, quality.Rules(window=500)).collect()} == {1}
+    assert {r["doc_id"] for r in quality.judge(df).filter("kept").collect()} == set()  # as in the SQL
+    out = corpus_pipeline.quality_rules(spark, df, "").collect()
+    assert [(r["doc_id"], r["text"]) for r in out] == [(1, book)]
+
+
 def test_quality_edge_cases(edge, none):
     out = quality.judge(edge)
     assert out.columns.count("kept") == 1 and "anchor" in out.columns
