@@ -8,7 +8,9 @@ match those of the earliest such run. Where an anchor occurs with different exte
 of the earliest run of each extension are compared one by one. Windows that start earlier elsewhere
 merge into maximal repeats, whose words go.
 
-An anchor's group is only read in sorted order, never held, and no pairs of a group are made.
+Repeats inside a document are found where its words are. Across documents every group is one aggregate
+row, its first document, combined before the shuffle and joined back to the runs: no group is held or
+paired, and a hot anchor's runs are split by the join.
 
 Defined results: a null or empty text has no words; texts shorter than a window are kept whole; of
 rows with the same ``doc_id`` the smallest text stands for all; rows without a ``doc_id`` are kept whole
@@ -29,6 +31,8 @@ from rillstore.cluster import cut, ship_package
 from rillstore.llm import words as W
 
 LENGTH, ANCHOR = 20, 6
+#: Bytes of text looked at at once.
+BLOCK = 1 << 20
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 #: A run is one number: its first window, times 32, plus its number of windows (fewer than 32).
 _SHIFT = 5
@@ -91,48 +95,32 @@ def runs(data: np.ndarray, at: np.ndarray, length: int, k: int):
     return text[a], a - first[text[a]], count, gram[anchor[a]], extension, window, first
 
 
+def _again(text: np.ndarray, *key: np.ndarray) -> np.ndarray:
+    """Rows whose key occurs in an earlier row of the same text."""
+    total = text.astype(np.uint64)
+    for x in key:
+        total = _join(total, x)
+    order = np.argsort(total, kind="stable")
+    same = np.ones(max(0, len(order) - 1), bool)
+    for x in (text, *key):
+        same &= x[order[1:]] == x[order[:-1]]
+    out = np.zeros(len(text), bool)
+    out[order[1:]] = same
+    return out
+
+
 def _seeds(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.slices(batches):
+        for b in W.slices(batches, block=BLOCK):
             text, place, count, anchor, extension, _, _ = runs(*W.flat(b.column("text")), length, k)
             if len(text):
                 doc = np.asarray(b.column("doc_id"))[text]
-                cols = (anchor.view(np.int64), extension.view(np.int64), doc, place << _SHIFT | count)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["anchor", "extension", "doc_id", "run"])
+                cols = (anchor.view(np.int64), extension.view(np.int64), doc, place << _SHIFT | count, _again(text, anchor, extension))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["anchor", "extension", "doc_id", "run", "again"])
 
     return run
 
 
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor, extension, document and place. Out: runs whose windows all start
-    earlier (``open`` false), and the first run of each extension where an anchor has several."""
-    last = None  # the latest first-of-extension row: anchor, extension, doc, run, already given out
-    for b in batches:
-        if not b.num_rows:
-            continue
-        a, x, d, r = (np.asarray(b.column(c)) for c in ("anchor", "extension", "doc_id", "run"))
-        if last is not None:
-            a, x, d, r = (np.concatenate([[v], y]) for v, y in zip(last[:4], (a, x, d, r), strict=True))
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (x[1:] != x[:-1])
-        lead = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        later = (d != d[lead][group]) | (r != r[lead][group])
-        la = a[lead]
-        several = np.zeros(len(lead), bool)
-        several[1:] = la[1:] == la[:-1]
-        several[:-1] |= la[1:] == la[:-1]
-        given = several.copy()
-        if last is not None and last[4]:
-            several[0] = False  # given out before
-            given[0] = True
-        i = lead[-1]
-        last = (a[i], x[i], d[i], r[i], bool(given[-1]))
-        out = [np.concatenate([y[later], y[lead[several]]]) for y in (d, r)]
-        is_open = np.concatenate([np.zeros(int(later.sum()), bool), np.ones(int(several.sum()), bool)])
-        yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(is_open)], ["doc_id", "run", "open"])
-
-
 def _spread(run: np.ndarray) -> np.ndarray:
     """The windows of some runs."""
     n = run & ((1 << _SHIFT) - 1)
@@ -142,7 +130,7 @@ def _spread(run: np.ndarray) -> np.ndarray:
 
 def _windows(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.slices(batches):
+        for b in W.slices(batches, block=BLOCK):
             data, at = W.flat(b.column("text"))
             s, e, first = W.find(data, at)
             window = gram_hashes(W.hashes(data, s, e), length)
@@ -152,34 +140,17 @@ def _windows(length: int, k: int):
             text = np.repeat(np.arange(len(sizes)), sizes)
             place, n = _spread(own), own & ((1 << _SHIFT) - 1)
             text = np.repeat(text, n)
-            doc = np.asarray(b.column("doc_id"))[text]
-            yield pa.RecordBatch.from_arrays([pa.array(window[first[text] + place].view(np.int64)), pa.array(doc), pa.array(place << _SHIFT | 1)], ["window", "doc_id", "run"])
+            order = np.lexsort((place, text))
+            text, place = text[order], place[order]
+            doc, own = np.asarray(b.column("doc_id"))[text], window[first[text] + place]
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(doc), pa.array(place << _SHIFT | 1), pa.array(_again(text, own))], ["window", "doc_id", "run", "again"])
 
     return run
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by window, document and place: all but the first of each window."""
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        w, d, r = (np.asarray(b.column(c)) for c in ("window", "doc_id", "run"))
-        if last is not None:
-            w, d, r = (np.concatenate([[v], y]) for v, y in zip(last, (w, d, r), strict=True))
-        new = np.ones(len(w), bool)
-        new[1:] = w[1:] != w[:-1]
-        lead = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        later = (d != d[lead][group]) | (r != r[lead][group])
-        i = lead[-1]
-        last = (w[i], d[i], r[i])
-        yield pa.RecordBatch.from_arrays([pa.array(d[later]), pa.array(r[later])], ["doc_id", "run"])
-
-
 def _remover(length: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.slices(batches):
+        for b in W.slices(batches, block=BLOCK):
             texts, lists = b.column("text").to_pylist(), b.column("runs")
             n_words, n_gone, sha, kept = [], [], [], []
             for i, t in enumerate(texts):
@@ -219,15 +190,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     repeated = bool(d.groupBy("doc_id").count().filter("count > 1").limit(1).count())
     if repeated:
         d = cut(d.groupBy("doc_id").agg(F.min("text").alias("text")))
-    seeds = d.mapInArrow(W.tidy(_seeds(length, anchor)), "anchor long, extension long, doc_id long, run long")
-    seeds = seeds.repartition("anchor").sortWithinPartitions("anchor", "extension", "doc_id", "run")
-    matches = cut(seeds.mapInArrow(W.tidy(_match), "doc_id long, run long, open boolean"))
-
-    open_ = matches.filter("open").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-    windows = d.join(open_, "doc_id").mapInArrow(W.tidy(_windows(length, anchor)), "window long, doc_id long, run long")
-    windows = windows.repartition("window").sortWithinPartitions("window", "doc_id", "run")
-    more = windows.mapInArrow(W.tidy(_later), "doc_id long, run long")
-    gone = matches.filter("not open").select("doc_id", "run").unionByName(more).groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    seeds = d.mapInArrow(W.tidy(_seeds(length, anchor)), "anchor long, extension long, doc_id long, run long, again boolean")
+
+    # Anchors of several runs; those with one extension only are settled by the first document.
+    several = seeds.filter("not again").groupBy("anchor").agg(F.min("extension").alias("lo"), F.max("extension").alias("hi"), F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    met = seeds.join(several.drop("n"), "anchor", "left").filter("again or lo <> hi or doc_id > first")
+    met = cut(met.select("doc_id", "run", "extension", F.expr("if(again or lo = hi, null, anchor)").alias("anchor")))
+    mixed = met.filter("anchor is not null")
+    leads = mixed.groupBy("anchor", "extension").agg(F.min("doc_id").alias("first"))
+    mixed = cut(mixed.join(leads, ["anchor", "extension"]).select("doc_id", "run", (F.col("doc_id") == F.col("first")).alias("open")))
+
+    # The windows of the first run of each extension, one by one.
+    open_ = mixed.filter("open").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    windows = cut(d.join(open_, "doc_id").mapInArrow(W.tidy(_windows(length, anchor)), "window long, doc_id long, run long, again boolean"))
+    shared = windows.filter("not again").groupBy("window").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    more = windows.join(shared.drop("n"), "window", "left").filter("again or doc_id > first").select("doc_id", "run")
+    gone = met.filter("anchor is null").select("doc_id", "run").unionByName(mixed.filter("not open").select("doc_id", "run")).unionByName(more)
+    gone = gone.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
     out = d.join(gone, "doc_id", "left").mapInArrow(W.tidy(_remover(length, with_text)), RESULT)
     if repeated:
         out = whole.select("doc_id").filter("doc_id is not null").join(cut(out), "doc_id")

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Hashing walks the bytes in pieces of about this many, so a very long text needs no more memory.
-PIECE = 1 << 22
+PIECE = 1 << 20
 #: Batches handed on by :func:`slices` hold about this many bytes of text (or one text).
 BLOCK = 1 << 22
 
