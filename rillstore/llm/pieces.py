@@ -10,17 +10,31 @@ white space is a pre-token of its own. Other texts are given to the library whol
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from rillstore.llm import words as W
+
 #: Distinct pieces a worker remembers; beyond it forgets them all and begins anew.
 MEMORY = 450_000
 #: Marks a piece that no space stands before; texts that hold it themselves are not cut.
 FIRST = "\x00"
-#: Byte-level BPE shows bytes as characters; those that are not themselves, of the bytes from 0x80 on.
-_SHOWN = {b: chr(0x100 + 33 + i) for i, b in enumerate([*range(0x7F, 0xA1)])} | {0xAD: chr(0x143)}
+def _shown() -> np.ndarray:
+    """The character by which byte-level BPE shows each byte: itself if printable, else the next from U+0100 on; line ends stay."""
+    own = np.zeros(256, bool)
+    own[[*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]] = True
+    out = np.where(own, np.arange(256), 0x100 + np.cumsum(~own) - 1)
+    out[10] = 10
+    return out.astype("<u4")
+
+
+_SHOWN = _shown()
+#: A run of Latin letters, perhaps after the mark that no space is before it, perhaps with a stop.
+_WORD_ONLY = r"\A\x00?[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+\z"
+_WORD = _WORD_ONLY[:-2] + r"[,.]?\z"
 # Unicode's white space.
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Texts not to be cut: white space after a space, a space at the end, or the mark below.
@@ -29,6 +43,11 @@ _UNSAFE = rf" {_WHITE}| \z|\x00"
 _LINES = rf"\A\n|\n\z|\n{_WHITE}|{_WHITE}\n"
 
 
+def _strings(col: pa.Array) -> list[str]:
+    """The texts of a column without nulls (by numpy, which makes them many times faster than ``to_pylist``)."""
+    return col.to_numpy(zero_copy_only=False).tolist()
+
+
 class Pieces:
     """``pre_split``: whether texts may be cut at spaces (byte-level BPE with its usual pattern)."""
 
@@ -75,23 +94,26 @@ class Pieces:
     def _encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _encode_words(self, new: list[str]) -> tuple[list[str], list[int], list[int]]:
+    def _encode_words(self, new: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Of some pieces, those of Latin letters, perhaps with a comma or full stop: each letters' run is
         one pre-token and goes to the model as such. Gives them, their ids and lengths."""
-        tokenize, own, ids, lengths = self.tokenizer.model.tokenize, [], [], []
-        for p in new:
-            end = self.stops.get(p[-1:])
-            first = p[:1] == FIRST
-            word = p[first : None if end is None else -1]
-            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-                text = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
-                got = [t.id for t in tokenize(text if first else "\u0120" + text)]
-                if end is not None:
-                    got.append(end)
-                own.append(p)
-                ids += got
-                lengths.append(len(got))
-        return own, ids, lengths
+        col = pa.array(new, pa.string())
+        own = col.filter(pc.match_substring_regex(col, _WORD if len(self.stops) == 2 else _WORD_ONLY))
+        if not len(own):
+            return [], np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        first = pc.starts_with(own, FIRST)
+        word = pc.utf8_rtrim(pc.utf8_ltrim(own, FIRST), ",.")
+        spaced = pc.binary_join_element_wise(pc.if_else(first, "", " "), word, "")
+        data, at = W.flat(spaced)
+        shown = _SHOWN[np.insert(data, at[1:-1], 10)].tobytes().decode("utf-32-le").split("\n")
+        got = list(map(self.tokenizer.model.tokenize, shown))
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        ids = np.array([t.id for x in got for t in x], np.uint32)
+        for stop, number in self.stops.items():
+            ends = np.flatnonzero(np.asarray(pc.ends_with(own, stop)))
+            ids = np.insert(ids, np.cumsum(lengths)[ends], number)
+            lengths[ends] += 1
+        return _strings(own), ids, lengths
 
     def _encode_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces that follow a space, all in one call, and their lengths: every piece begins,
@@ -128,7 +150,7 @@ class Pieces:
     def _number(self, distinct: list[str]) -> np.ndarray:
         """The number of each piece; new ones are encoded and learnt."""
         seen = self.seen
-        numbers = np.fromiter((seen.get(p, -1) for p in distinct), np.int64, len(distinct))
+        numbers = np.fromiter(map(seen.get, distinct, repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(numbers < 0).tolist()
         if missing:
             new = dict.fromkeys(distinct[i] for i in missing)
@@ -141,7 +163,7 @@ class Pieces:
                 own = self._encode([p[1:] for p in first])
                 self._learn(np.concatenate(own), np.fromiter(map(len, own), np.int64, len(own)))
             if words:
-                self._learn(np.asarray(ids, np.uint32), np.asarray(lengths, np.int64))
+                self._learn(ids, lengths)
             if rest:
                 self._learn(*self._encode_pieces(rest))
             seen.update(zip([*first, *words, *rest], range(base, self.known), strict=True))
@@ -162,10 +184,10 @@ class Pieces:
         lists = pc.split_pattern(pc.if_else(parted, pc.replace_substring(own, "\n", f" {FIRST}\n {FIRST}"), own), " ")
         sizes[safe] = np.diff(np.asarray(lists.offsets))
         codes = lists.flatten().dictionary_encode()
-        numbers = self._number(codes.dictionary.to_pylist())[np.asarray(codes.indices)] if len(codes) else np.zeros(0, np.int64)
+        numbers = self._number(_strings(codes.dictionary))[np.asarray(codes.indices)] if len(codes) else np.zeros(0, np.int64)
         if len(numbers):  # a text's first piece has no space before it
             at = np.cumsum(sizes[safe]) - sizes[safe]  # no mark yet: a text that begins with a line's end is not parted
-            numbers[at] = self._number([FIRST + p for p in codes.take(pa.array(at)).cast(pa.string()).to_pylist()])
+            numbers[at] = self._number([FIRST + p for p in _strings(codes.take(pa.array(at)).cast(pa.string()))])
         self.hits[: self.known] += np.bincount(numbers, minlength=self.known).astype(np.int32)
         return numbers, sizes, whole, col.take(pa.array(whole)).to_pylist()
 
