@@ -1,11 +1,11 @@
-"""Benchmark decontamination by exact seeds that no accepted passage can avoid.
+"""Benchmark decontamination by spaced seeds that no accepted passage can avoid.
 
 Tokens are lower-cased runs of letters and digits, hashed to 64 bits. A passage of ``w`` aligned tokens
-(``overlap``, or the whole item, if shorter) is accepted with at most ``s`` of them substituted; these part
-the others into at most ``s + 1`` runs, so one run has at least ``(w - s) / (s + 1)`` tokens, rounded up. All
-windows of that length (4 for 16 of 20) are hashed and joined, so every accepted passage is met, wherever
-its substitutions lie. Every hit names a document, an item and an alignment; the alignment is then verified,
-token by token: the document is contaminated if ``w`` consecutive aligned tokens have at least ``percent`` equal.
+(``overlap``, or the whole item, if shorter) is accepted if at least ``percent`` of them are equal. Fixed masks
+say which tokens of a stretch are hashed and which are ignored; for every length of ``w`` there is a family
+of masks such that, however the allowed substitutions lie, some mask fits somewhere with all its hashed
+tokens equal (``covers`` enumerates all cases). The hashes of all documents and items are joined; every hit
+names a document, an item and an alignment, which is then verified token by token.
 
 Only DataFrame functions are used. The benchmark's hashes are broadcast when counted and found to be
 few (``broadcast_rows``); beyond, the same join shuffles. Documents are never grouped but by their own
@@ -13,32 +13,51 @@ id, on their hits.
 
 Defined results: a null or empty text has no tokens and is never contaminated, and an empty item
 contaminates nothing; items of equal text are all named; rows of the same ``doc_id`` are one document,
-contaminated if any of its texts is; rows without a ``doc_id`` are returned unjudged (kept).
+contaminated if any of its texts is; rows without a ``doc_id`` are returned unjudged (kept); with an empty
+benchmark nothing is contaminated, and an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Masks by the least length of a passage they serve; 1 marks a token that is hashed. Each family
+# meets every passage of its lengths at 80 per cent.
+MASKS = {
+    16: ("1111011", "1110100011", "10101111"),
+    12: ("111011", "11111"),
+    5: ("1111", "11011", "11101", "10111"),
+    4: ("1111",),
+    3: ("111",),
+    2: ("11",),
+    1: ("1",),
+}
+
+
+def covers(masks: tuple[str, ...], w: int, substituted: int) -> bool:
+    """Whether some mask fits every pattern of so many substitutions in ``w`` tokens."""
+    fits = [sum(1 << (at + i) for i, x in enumerate(m) if x == "1") for m in masks for at in range(w - len(m) + 1)]
+    return all(any(not f & sum(1 << c for c in gone) for f in fits) for gone in combinations(range(w), substituted))
+
+
 @dataclass(frozen=True)
 class Overlap:
     overlap: int = 20
     percent: int = 80
     broadcast_rows: int = 500_000
 
-    def seed(self, n: int) -> int:
-        """Length of the run of equal tokens that every accepted passage of an item of ``n`` tokens has."""
+    def masks(self, n: int) -> tuple[str, ...]:
+        """The masks for items of ``n`` tokens; where the fixed ones do not meet every accepted passage, one run that does."""
         w = min(self.overlap, n)
         equal = -(-w * self.percent // 100)
-        return max(1, -(-equal // (w - equal + 1)))
-
-
-# The seed of items that are as long as the overlap or longer; 1 marks a token that is hashed.
-SPAN = Overlap().seed(Overlap().overlap)
-MASKS = ("1" * SPAN,)
+        family = MASKS[max(k for k in MASKS if k <= w)]
+        if w <= 20 and w - equal <= w // 5 or covers(family, w, w - equal):
+            return family
+        return ("1" * max(1, -(-equal // (w - equal + 1))),)
 
 
 def token_hashes(text: Column) -> Column:
@@ -46,10 +65,17 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _hashed(d: DataFrame, ids: list[str], n: int) -> DataFrame:
-    """``ids, at, key`` of all windows of ``n`` tokens."""
-    d = d.filter(F.size("tokens") >= n).select(*ids, "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - n)).alias("at"))
-    return d.select(*ids, "at", F.xxhash64(F.lit(n), *[F.col("tokens")[F.col("at") + i] for i in range(n)]).alias("key"))
+def _key(mask: str) -> Column:
+    """The hash of the tokens that the mask marks, from the place ``at`` on; null where it leaves the text."""
+    own = [F.get("tokens", F.col("at") + i) for i, x in enumerate(mask) if x == "1"]
+    return F.when(F.col("at") + len(mask) <= F.size("tokens"), F.xxhash64(F.lit(mask), *own))
+
+
+def _hashed(d: DataFrame, ids: list[str], masks: list[str]) -> DataFrame:
+    """``ids, at, key`` of all masks at all places, from one pass over the tokens."""
+    d = d.select(*ids, "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("at"))
+    d = d.select(*ids, "at", F.explode(F.array(*[_key(m) for m in masks])).alias("key"))
+    return d.filter("key is not null")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, p: Overlap = Overlap()) -> DataFrame:
@@ -60,24 +86,28 @@ def find(docs: DataFrame, benchmark: DataFrame, p: Overlap = Overlap()) -> DataF
     d = docs.select(F.col("doc_id").cast("long"), token_hashes(F.col("text")).alias("tokens")).filter("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("long"), token_hashes(F.col("text")).alias("tokens")).filter("item_id is not null and size(tokens) > 0")
     items = items.withColumn("n", F.size("tokens"))
-    lengths: dict[int, list[int]] = {}  # of a seed: the items' lengths, those from the overlap on as one; at most ``overlap`` numbers
-    for r in items.select(F.least("n", F.lit(p.overlap))).distinct().collect():
-        lengths.setdefault(p.seed(r[0]), []).append(r[0])
+    sizes = sorted(r[0] for r in items.select(F.least("n", F.lit(p.overlap))).distinct().collect())  # at most ``overlap`` numbers
+    families: dict[tuple[str, ...], list[int]] = {}
+    for n in sizes:
+        families.setdefault(p.masks(n), []).append(n)
+    masks = sorted({m for f in families for m in f})
     few = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= p.broadcast_rows
     sized = F.broadcast if few else (lambda x: x)
-    seeds, sought = items.limit(0).select("item_id", "n", F.lit(0).alias("item_at"), F.lit(0).cast("long").alias("key")), d.limit(0).select("doc_id", F.lit(0).alias("at"), F.lit(0).cast("long").alias("key"))
-    for length, ns in sorted(lengths.items()):
-        own = items.filter(F.least("n", F.lit(p.overlap)).isin(ns))
-        seeds = seeds.unionByName(_hashed(own, ["item_id", "n"], length).withColumnRenamed("at", "item_at"))
-        sought = sought.unionByName(_hashed(d, ["doc_id"], length))
-    seeds = seeds.distinct()
+    nothing = F.lit(0).cast("long").alias("key")
+    seeds, sought = items.limit(0).select("item_id", "n", F.lit(0).alias("at"), nothing), d.limit(0).select("doc_id", F.lit(0).alias("at"), nothing)
+    for family, ns in families.items():
+        seeds = seeds.unionByName(_hashed(items.filter(F.least("n", F.lit(p.overlap)).isin(ns)), ["item_id", "n"], list(family)))
+    if masks:
+        sought = _hashed(d.filter("size(tokens) > 0"), ["doc_id"], masks)
+    seeds = seeds.withColumnRenamed("at", "item_at").distinct()
 
     hits = sought.join(sized(seeds), "key").select("doc_id", F.struct("item_id", "n", (F.col("at") - F.col("item_at")).alias("shift")).alias("hit"))
     hits = hits.distinct().groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))
-    rows = d.join(hits, "doc_id").select("doc_id", "tokens", F.explode("hits").alias("hit")).select("doc_id", "tokens", "hit.*")
-    start = F.greatest(F.lit(0), F.col("shift"))
-    length = F.least(F.size("tokens"), F.col("shift") + F.col("n")) - start
-    rows = rows.select("doc_id", "item_id", "shift", "n", start.alias("start"), F.slice("tokens", start + 1, length).alias("own"))
+    # The aligned tokens are cut out before the hits are laid out in rows.
+    start = lambda h: F.greatest(F.lit(0), h["shift"])
+    own = lambda h: F.slice("tokens", start(h) + 1, F.least(F.size("tokens"), h["shift"] + h["n"]) - start(h))
+    rows = d.join(hits, "doc_id").select("doc_id", F.explode(F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["n"].alias("n"), h["shift"].alias("shift"), start(h).alias("start"), own(h).alias("own")))).alias("hit"))
+    rows = rows.select("doc_id", "hit.*")
     rows = rows.join(sized(items.withColumnRenamed("tokens", "item_tokens")), ["item_id", "n"])
     rows = rows.withColumn("theirs", F.slice("item_tokens", F.col("start") - F.col("shift") + 1, F.size("own")))
     rows = rows.withColumn("same", F.zip_with("own", "theirs", lambda x, y: (x == y).cast("int")))

@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from rillstore.llm.decontam import Overlap
 
-# The three seeds the SQL is written for, as they were; the operator's own seeds miss nothing that these meet.
-MASKS = ("111010010111", "110101101011", "101110011101")
-SPAN = len(MASKS[0])
-
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 NEAR = f"""
@@ -43,28 +39,21 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
 
-def _key(m: int) -> str:
-    return "concat_ws(' ', 'm{}', {})".format(m, ", ".join(f"w[i + {k}]" for k, x in enumerate(MASKS[m]) if x == "1"))
-
-
-def _seeds(table: str, key: str) -> str:
-    rows = f"(SELECT {key}, w, unnest(range(1, len(w) - {SPAN - 2})) AS i FROM {table} WHERE len(w) >= {SPAN})"
-    return " UNION ALL ".join(f"SELECT {key}, i, {_key(m)} AS k FROM {rows}" for m in range(len(MASKS)))
-
-
 _TOKENS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 _P = Overlap()
+# Every accepted passage of w tokens with at most s substituted holds a run of (w - s) / (s + 1) equal tokens,
+# rounded up: the SQL starts from such runs, and so depends on no mask.
 DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents
-), b AS (SELECT item_id, {_TOKENS} AS w FROM benchmark
-), short AS (SELECT DISTINCT len(w) AS n FROM b WHERE len(w) BETWEEN 1 AND {SPAN - 1}
+), b0 AS (SELECT item_id, {_TOKENS} AS w FROM benchmark
+), b1 AS (SELECT item_id, w, least(len(w), {_P.overlap}) AS n, CAST(ceil(least(len(w), {_P.overlap}) * {_P.percent} / 100) AS BIGINT) AS e FROM b0 WHERE len(w) > 0
+), b AS (SELECT item_id, w, greatest(1, CAST(ceil(e / (n - e + 1)) AS BIGINT)) AS run FROM b1
+), runs AS (SELECT DISTINCT run FROM b
 ), ds AS (
-  {_seeds("d", "doc_id")}
-  UNION ALL SELECT doc_id, i, concat('n', n, ' ', array_to_string(w[i:i + n - 1], ' ')) FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN short ON len(w) >= n)
+  SELECT doc_id, i, run, array_to_string(w[i:i + run - 1], ' ') AS k FROM (SELECT doc_id, w, run, unnest(range(1, len(w) - run + 2)) AS i FROM d JOIN runs ON len(w) >= run)
 ), bs AS (
-  {_seeds("b", "item_id")}
-  UNION ALL SELECT item_id, 1, concat('n', len(w), ' ', array_to_string(w, ' ')) FROM b WHERE len(w) BETWEEN 1 AND {SPAN - 1}
-), hit AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS shift FROM ds JOIN bs ON ds.k = bs.k
+  SELECT item_id, i, run, array_to_string(w[i:i + run - 1], ' ') AS k FROM (SELECT item_id, w, run, unnest(range(1, len(w) - run + 2)) AS i FROM b)
+), hit AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS shift FROM ds JOIN bs ON ds.k = bs.k AND ds.run = bs.run
 ), lined AS (
   SELECT hit.doc_id AS doc_id, hit.item_id AS item_id, least({_P.overlap}, len(b.w)) AS n,
     list_transform(range(greatest(1, 1 - shift), least(len(b.w), len(d.w) - shift) + 1), lambda p: CASE WHEN b.w[p] = d.w[p + shift] THEN 1 ELSE 0 END) AS same

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import re
 import zlib
@@ -161,12 +162,8 @@ def brute_find(docs, items, p):
                 continue
             for shift in range(-len(it) + 1, len(w)):
                 pairs = {k: it[k] == w[k + shift] for k in range(len(it)) if 0 <= k + shift < len(w)}
-                if len(it) < decontam.SPAN:
-                    seed = len(pairs) == len(it) and all(pairs.values())
-                else:
-                    seed = any(all(pairs.get(k + j, False) for j, x in enumerate(m) if x == "1") and k + decontam.SPAN <= len(it) and k in pairs and k + decontam.SPAN - 1 in pairs for m in decontam.MASKS for k in range(len(it) - decontam.SPAN + 1))
                 same, n = list(pairs.values()), min(p.overlap, len(it))
-                if seed and any(sum(same[x : x + n]) * 100 >= n * p.percent for x in range(len(same) - n + 1)):
+                if any(sum(same[x : x + n]) * 100 >= n * p.percent for x in range(len(same) - n + 1)):
                     out.add((d, i, shift))
     return out
 
@@ -199,13 +196,13 @@ def test_decontamination_edge_cases(spark, edge, none):
     assert decontam.judge(none, items).count() == 0 and decontam.judge(edge, items.limit(0)).filter("contaminated").count() == 0
 
 
-def test_seeds_meet_every_accepted_passage():
-    p = decontam.Overlap()
-    for n in range(1, 21):
-        least = -(-n * p.percent // 100)
-        for gone in itertools.combinations(range(n), n - least):  # fewer substitutions only lengthen the runs
-            cuts = [-1, *gone, n]
-            assert max(b - a - 1 for a, b in itertools.pairwise(cuts)) >= p.seed(n)
+def test_masks_meet_every_accepted_passage():
+    for p in (decontam.Overlap(), decontam.Overlap(percent=70), decontam.Overlap(overlap=24, percent=90)):
+        for n in range(1, p.overlap + 1):
+            masks = p.masks(n)
+            assert all(m[0] == m[-1] == "1" and len(m) <= n for m in masks)
+            assert decontam.covers(masks, n, n - -(-n * p.percent // 100))  # fewer substitutions only leave more equal
+    assert not decontam.covers(("111111",), 20, 4) and "0" in "".join(decontam.Overlap().masks(20))
 
 
 def test_decontamination_equals_alignments_without_seeds(spark):
@@ -300,21 +297,59 @@ def test_extract(spark):
 
 
 # --- toxicity ----------------------------------------------------------------------------------
-def test_index_is_exact():
+@pytest.mark.parametrize("frequent", [0.0, 0.06, 1.0])
+def test_index_is_exact(frequent):
     rng = np.random.default_rng(3)
-    x = rng.random((500, 40)) * (rng.random((500, 40)) < 0.1)
-    x = (x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)).astype(np.float32)
+    x = rng.random((500, 40)) * (rng.random((500, 40)) < rng.random(40) ** 3)
+    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
     q = x[rng.permutation(500)[:60]] + 0
     q[::7] = 0
-    index = toxicity.Index.build(x, 16)
-    cos, example = index.nearest(q, 9)
-    full = np.round((q @ x.T) * 100_000).astype(np.int64)
+    q[::5] *= 0.5
+    index = toxicity.Index.build(*np.nonzero(x), x[x > 0], 500, 40, 16, frequent)
+    cos, example = index.nearest(*np.nonzero(q), q[q > 0], 60, 9)
+    full = q @ x.T
     for i in range(len(q)):
-        want = sorted(((-c, j) for j, c in enumerate(full[i]) if c > 0))[:9]
-        assert np.abs(np.round(cos[i][: len(want)] * 100_000) + [c for c, _ in want]).max(initial=0) <= 1
-        assert (example[i][len(want) :] == -1).all()
-        close = [(c, j) for c, j in want if sum(abs(c - d) <= 1 for d, _ in want) == 1]
-        assert {j for _, j in close[:-1]} <= set(example[i].tolist())
+        want = np.sort(full[i][full[i] > 0])[::-1][:9]
+        assert np.allclose(cos[i][: len(want)], want, atol=3e-6) and (example[i][len(want) :] == -1).all()
+        got = example[i][: len(want)]
+        assert len(set(got.tolist())) == len(want) and np.allclose(full[i][got], cos[i][: len(want)], atol=3e-6)
+
+
+def test_scores_equal_brute_force_over_all_terms(spark):
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(400)] + ["é" + str(i) for i in range(20)]
+    texts = {d: " ".join(rng.choices(vocabulary, k=rng.randrange(8, 60)) + ["bad"] * (d % 4 == 0 and rng.randrange(3))) for d in range(300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(d, 1, int(d % 4 == 0)) for d in range(200)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, toxicity.Toxic(per_label=40, block=8))
+    ids = model.ids.tolist()
+    assert {i for i in ids} <= {d for d in range(200) if zlib.crc32(str(d).encode()) % 5} and 40 < len(ids) <= 80
+    count = {d: {w: t.split().count(w) for w in set(t.split())} for d, t in texts.items()}
+    terms = sorted({w for d in ids for w in count[d]})
+    n1, n0 = sum(d % 4 == 0 for d in ids), sum(d % 4 != 0 for d in ids)
+    weight = {}
+    for w in terms:
+        a, b = sum(w in count[d] for d in ids if d % 4 == 0), sum(w in count[d] for d in ids if d % 4)
+        df = sum(w in c for c in count.values())
+        weight[w] = math.log(301 / (1 + df)) * max(0, abs(a * (n0 - b) - b * (n1 - a)) - (n1 + n0) / 2) ** 2 / ((a + b) * max(1, n1 + n0 - a - b) * n1 * n0)
+
+    def vector(d):
+        v = np.array([(1 + math.log(count[d][w])) * weight[w] if w in count[d] else 0 for w in terms])
+        return v / max(1e-12, np.sqrt((v * v).sum()))
+
+    assert len(model.vocabulary) == len(terms)
+    x = np.array([vector(d) for d in ids])
+    cos, example = model.nearest(pa.array([texts[d] for d in range(300)]))
+    for d in range(300):
+        full = x @ vector(d)
+        want = np.sort(full)[::-1][: model.k]
+        assert np.allclose(cos[d], np.where(want > 5e-7, want, 0), atol=2e-6)
+        assert np.allclose(full[example[d][example[d] >= 0]], cos[d][example[d] >= 0], atol=2e-6)
+    rows = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for d in (0, 7, 250, 299):
+        vote = model.votes(cos[d : d + 1], example[d : d + 1])[0]
+        want = 1 / (1 + math.exp(-(model.curve[0] * vote + model.curve[1]))) if cos[d][0] > 0 else model.base
+        assert abs(rows[d]["score"] - want) < 1e-9 and rows[d]["evidence"] == [ids[j] for j in example[d] if j >= 0]
 
 
 def test_toxicity_learns_and_holds_out(spark):
