@@ -194,17 +194,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     # Anchors of several runs; those with one extension only are settled by the first document.
     several = seeds.filter("not again").groupBy("anchor").agg(F.min("extension").alias("lo"), F.max("extension").alias("hi"), F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    met = seeds.join(several.drop("n"), "anchor", "left").filter("again or lo <> hi or doc_id > first")
+    several = cut(several.drop("n"))  # written, so that the join reads both sides from shuffles and can split a hot anchor
+    met = seeds.join(several, "anchor", "left").filter("again or lo <> hi or doc_id > first")
     met = cut(met.select("doc_id", "run", "extension", F.expr("if(again or lo = hi, null, anchor)").alias("anchor")))
     mixed = met.filter("anchor is not null")
-    leads = mixed.groupBy("anchor", "extension").agg(F.min("doc_id").alias("first"))
+    leads = cut(mixed.groupBy("anchor", "extension").agg(F.min("doc_id").alias("first")))
     mixed = cut(mixed.join(leads, ["anchor", "extension"]).select("doc_id", "run", (F.col("doc_id") == F.col("first")).alias("open")))
 
     # The windows of the first run of each extension, one by one.
     open_ = mixed.filter("open").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
     windows = cut(d.join(open_, "doc_id").mapInArrow(W.tidy(_windows(length, anchor)), "window long, doc_id long, run long, again boolean"))
     shared = windows.filter("not again").groupBy("window").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    more = windows.join(shared.drop("n"), "window", "left").filter("again or doc_id > first").select("doc_id", "run")
+    more = windows.join(cut(shared.drop("n")), "window", "left").filter("again or doc_id > first").select("doc_id", "run")
     gone = met.filter("anchor is null").select("doc_id", "run").unionByName(mixed.filter("not open").select("doc_id", "run")).unionByName(more)
     gone = gone.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
     out = d.join(gone, "doc_id", "left").mapInArrow(W.tidy(_remover(length, with_text)), RESULT)
