@@ -68,6 +68,8 @@ class Pieces:
             and spec.get("normalizer") is None and spec.get("post_processor") is None
             and not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word"))
         )
+        # Whether added tokens take in white space around them, or are looked for in changed text.
+        self.entangled = spec.get("normalizer") is not None or any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word"))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids whose bytes begin with a space
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
@@ -101,18 +103,14 @@ class Pieces:
         own = col.filter(pc.match_substring_regex(col, _WORD if len(self.stops) == 2 else _WORD_ONLY))
         if not len(own):
             return [], np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        first = pc.starts_with(own, FIRST)
-        word = pc.utf8_rtrim(pc.utf8_ltrim(own, FIRST), ",.")
-        spaced = pc.binary_join_element_wise(pc.if_else(first, "", " "), word, "")
-        data, at = W.flat(spaced)
-        shown = _SHOWN[np.insert(data, at[1:-1], 10)].tobytes().decode("utf-32-le").split("\n")
+        shown, ends = self._shown_words(own)
         got = list(map(self.tokenizer.model.tokenize, shown))
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         ids = np.array([t.id for x in got for t in x], np.uint32)
         for stop, number in self.stops.items():
-            ends = np.flatnonzero(np.asarray(pc.ends_with(own, stop)))
-            ids = np.insert(ids, np.cumsum(lengths)[ends], number)
-            lengths[ends] += 1
+            own_ends = np.flatnonzero(ends == ord(stop))
+            ids = np.insert(ids, np.cumsum(lengths)[own_ends], number)
+            lengths[own_ends] += 1
         return _strings(own), ids, lengths
 
     def _encode_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -191,15 +189,80 @@ class Pieces:
         self.hits[: self.known] += np.bincount(numbers, minlength=self.known).astype(np.int32)
         return numbers, sizes, whole, col.take(pa.array(whole)).to_pylist()
 
-    def token_counts(self, texts: Sequence[str] | pa.Array) -> np.ndarray:
-        """Tokens of each text: distinct pieces are counted once and joined to the texts' pieces."""
-        numbers, sizes, at, whole = self.lookup(texts)
-        total = np.concatenate([[0], np.cumsum(self.end[numbers + 1] - self.end[numbers])])
-        end = np.cumsum(sizes)
-        out = total[end] - total[end - sizes]
-        if whole:
-            out[at] = [len(x) for x in self._encode(whole)]
-        return out
+    def _shown_words(self, own: pa.Array) -> tuple[list[str], np.ndarray]:
+        """For pieces of ``_WORD``: the letters as the model sees them, and the stop's character or 0."""
+        first = pc.starts_with(own, FIRST)
+        word = pc.utf8_rtrim(pc.utf8_ltrim(own, FIRST), ",.")
+        data, at = W.flat(pc.binary_join_element_wise(pc.if_else(first, "", " "), word, ""))
+        stop = np.zeros(len(own), np.int64)
+        for c in ",.":
+            stop[np.asarray(pc.ends_with(own, c))] = ord(c)
+        return _SHOWN[np.insert(data, at[1:-1], 10)].tobytes().decode("utf-32-le").split("\n") if len(own) else [], stop
+
+    def _pre_tokens(self, text: str) -> list[str]:
+        if self.tokenizer.normalizer is not None:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        return [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)] if self.tokenizer.pre_tokenizer is not None else [text]
+
+    def frequencies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Text, pre-token and how often the text has it; the distinct pre-tokens; and of each text the ids that are not of pre-tokens."""
+        import re
+
+        col = pc.fill_null(texts, "") if texts.null_count else texts
+        n = len(col)
+        safe, added = self.cuttable(col), np.zeros(n, np.int64)
+        own, sizes = col.filter(pa.array(safe)), np.zeros(n, np.int64)
+        parted = pc.invert(pc.match_substring_regex(own, _LINES))
+        lists = pc.split_pattern(pc.if_else(parted, pc.replace_substring(own, "\n", f" {FIRST}\n {FIRST}"), own), " ")
+        sizes[safe] = np.diff(np.asarray(lists.offsets))
+        codes = lists.flatten().dictionary_encode()
+        at = np.cumsum(sizes[safe]) - sizes[safe]
+        first = pc.binary_join_element_wise(FIRST, codes.take(pa.array(at)).cast(pa.string()), "") if len(at) else pa.array([], pa.string())
+        piece_of = np.asarray(codes.indices).astype(np.int64)
+        piece_of[at] = len(codes.dictionary) + np.arange(len(at))  # a text's first piece has no space before it
+        every = pa.concat_arrays([codes.dictionary.cast(pa.string()), first.cast(pa.string())])
+
+        plain = np.asarray(pc.match_substring_regex(every, _WORD))
+        shown, stop = self._shown_words(every.filter(pa.array(plain)))
+        names, lengths = [shown, [chr(c) for c in stop[stop > 0].tolist()]], np.zeros(len(every), np.int64)
+        lengths[plain] = 1 + (stop > 0)
+        which = [np.flatnonzero(plain), np.flatnonzero(plain)[stop > 0]]  # the piece of each name, in order of names
+        odd = np.flatnonzero(~plain)
+        for i, p in zip(odd.tolist(), _strings(every.take(pa.array(odd))), strict=True):
+            got = self._pre_tokens(p[1:] if p[:1] == FIRST else " " + p)
+            names.append(got)
+            lengths[i] = len(got)
+        which.append(np.repeat(odd, lengths[odd]))
+        # Texts that are not cut at spaces are pieces of their own.
+        whole, special = np.flatnonzero(~safe & (np.asarray(pc.binary_length(col)) > 0)), None
+        if self.added:
+            special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
+        more = np.zeros(len(whole), np.int64)
+        for j, text in enumerate(_strings(col.take(pa.array(whole)))):
+            if self.entangled and special is not None and special.search(text):  # only the library can tell its ids apart
+                names.append([])
+                added[whole[j]] = len(self._encode([text])[0])
+                continue
+            parts = special.split(text) if special is not None else [text]
+            got = [x for part in parts if part for x in self._pre_tokens(part)]
+            names.append(got)
+            more[j], added[whole[j]] = len(got), len(parts) - 1
+        which.append(np.repeat(len(every) + np.arange(len(whole)), more))
+        lengths = np.concatenate([lengths, more])
+        flat = pa.array([x for own_names in names for x in own_names], pa.string()).dictionary_encode()
+        order = np.argsort(np.concatenate(which), kind="stable")
+        name_of, start = np.asarray(flat.indices).astype(np.int64)[order], np.cumsum(lengths) - lengths
+
+        doc = np.concatenate([np.repeat(np.arange(n), sizes), whole])
+        piece = np.concatenate([piece_of, len(every) + np.arange(len(whole))])
+        run, place = W.segments(lengths[piece])
+        v = max(1, len(flat.dictionary))
+        key, number = np.unique(doc[run] * v + name_of[start[piece][run] + place], return_counts=True)
+        return key // v, key % v, number, flat.dictionary, added
+
+    def sizes(self, names: list[str]) -> list[int]:
+        """The number of the library's ids of each pre-token."""
+        return list(map(len, map(self.tokenizer.model.tokenize, names)))
 
     def encode(self, texts: Sequence[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and the number of ids of each."""
