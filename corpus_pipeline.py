@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstore.cluster import shared_dir
+from rillstore.cluster import fresh, shared_dir
 from rillstore.llm import decontam, idfile, minhash, mixing, quality
 from rillstore.llm.queries import END_ID, TARGETS, table, tokenizer_path
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = fresh(docs, "gone")
+    return docs.join(ids.select(F.col("doc_id").alias(gone)), docs["doc_id"] == F.col(gone), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated so that the languages' expected tokens meet the target shares; none goes."""
-    return mixing.apply(docs, table(spark, sf_dir, "labels"), TARGETS)
+    return mixing.apply(docs, table(spark, sf_dir, "labels"), TARGETS, mixing.Mix(least=1.0), tokenizer_path())
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

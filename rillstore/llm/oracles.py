@@ -65,3 +65,14 @@ WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents
 SELECT d.doc_id AS doc_id, items IS NOT NULL AS contaminated, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, coalesce(items, []) AS item_ids, items IS NULL AS kept
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id
 """
+
+# In the driver's pages the article is one element of headings and paragraphs.
+PAGES = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:h1|p)>') AS parts FROM pages
+), b AS (
+  SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM a
+), c AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM b
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c
+"""

@@ -7,9 +7,14 @@ article, in the light of the whole page. The labeller is trained here, once per
 made up from a seed (``training_pages``): articles among menus, headers, footers, sidebars, notices,
 adverts, forms and comments, in many layouts.
 
-Defined results: a null or empty page gives an empty text; unclosed tags, comments and quotes are
-closed by the next tag or the page's end; repeated rows are labelled each on their own; extra columns
-are dropped.
+Raw text (scripts, styles, text fields, titles) is no block; what browsers do not show (templates, choices of
+a list, fallbacks for browsers without scripts or frames) is none either; all else is labelled, formulas and
+drawings with text like their surroundings.
+
+Defined results: a null or empty page gives an empty text; unclosed tags are closed by the end of what holds
+them or the page's end, unclosed raw text too; unclosed comments and quotes end with the page or the tag;
+repeated rows are labelled each on their own; an empty table gives no rows; a page of any length is one
+sequence of blocks; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,16 +40,26 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 
-# HTML's elements without content, of raw text, and those that do not part blocks.
+# HTML's elements without content, of raw text, of content that is not shown, and those that do not part blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title xmp noembed noframes".split())
+UNSEEN = frozenset("template noscript select datalist iframe".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr "
+    "area audio canvas embed map meter object output picture progress source track video "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover semantics annotation svg g text tspan textpath".split()
+)
 #: Blocks that end an open paragraph or item of the same kind.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Elements beyond which an open item is not closed.
 _SCOPE = frozenset("ul ol dl table body article section div".split())
 
 
+@functools.cache
+def _end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I)
+
+
 @dataclass(slots=True)
 class Block:
     text: str
@@ -58,23 +73,21 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []  # tag, and tag with its class and id words
     parts: list[str] = []
     linked = at = 0
-    in_link = 0
+    in_link = hidden = 0
 
     def close() -> None:
         nonlocal linked
         if parts:
-            raw = "".join(parts)
-            if "&" in raw:
-                raw = html.unescape(raw)
-            if text := " ".join(raw.split()):
+            if text := " ".join("".join(parts).split()):
                 out.append(Block(text, tuple(x[1] for x in stack), min(linked, len(text))))
             parts.clear()
         linked = 0
 
     def text(a: int, b: int) -> None:
         nonlocal linked
-        if b > a:
-            parts.append(page[a:b])
+        if b > a and not hidden:
+            own = page[a:b]
+            parts.append(html.unescape(own) if "&" in own else own)
             if in_link:
                 linked += b - a
 
@@ -92,12 +105,17 @@ def blocks(page: str) -> list[Block]:
                     del stack[i:]
                     break
             in_link = sum(x[0] == "a" for x in stack) if in_link else 0
+            hidden = sum(x[0] in UNSEEN for x in stack) if hidden else 0
             continue
         if tag in RAW:
             close()
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                end = _end(tag).search(page, at)
+                if end is None and stack:  # not closed: up to the end of what holds it
+                    end = _end(stack[-1][0]).search(page, at)
+                    at = end.start() if end else len(page)
+                else:
+                    at = end.end() if end else len(page)
             continue
         if tag not in INLINE:
             close()
@@ -111,12 +129,14 @@ def blocks(page: str) -> list[Block]:
                     if stack[i][0] in _SCOPE:
                         break
             in_link = sum(x[0] == "a" for x in stack) if in_link else 0
-        elif tag in VOID:
+            hidden = sum(x[0] in UNSEEN for x in stack) if hidden else 0
+        elif tag == "br":
             parts.append(" ")
         if tag not in VOID and not m[3].endswith("/"):
             names = " ".join(w for v in _NAMES.findall(m[3]) for w in _WORDS.findall("".join(v).lower())) if m[3] else ""
             stack.append((tag, f"{tag} {names}" if names else tag))
             in_link += tag == "a"
+            hidden += tag in UNSEEN
     text(at, len(page))
     close()
     return out

@@ -264,6 +264,16 @@ class Pieces:
         """The number of the library's ids of each pre-token."""
         return list(map(len, map(self.tokenizer.model.tokenize, names)))
 
+    def token_counts(self, texts: Sequence[str] | pa.Array) -> np.ndarray:
+        """Tokens of each text, without its ids."""
+        numbers, sizes, at, whole = self.lookup(texts)
+        total = np.concatenate([[0], np.cumsum(self.end[numbers + 1] - self.end[numbers])])
+        end = np.cumsum(sizes)
+        out = total[end] - total[end - sizes]
+        if whole:
+            out[at] = [len(x) for x in self._encode(whole)]
+        return out
+
     def encode(self, texts: Sequence[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and the number of ids of each."""
         numbers, sizes, at, whole = self.lookup(texts)

@@ -59,7 +59,7 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillstore.llm import mixing
 
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS, tokenizer=tokenizer_path())
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +105,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": oracles.NEAR,
     "op2_quality": quality.ORACLE,
     "op4_repeats": oracles.REPEATS,
+    "op5_main_text": oracles.PAGES,
     "op7_chat": chat.ORACLE,
     "op10_decontamination": oracles.DECONTAMINATION,
 }

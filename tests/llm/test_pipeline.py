@@ -66,7 +66,7 @@ def test_decontamination_stage(stages):
 
 
 def test_mix_stage(stages, spark):
-    rated = {r["doc_id"]: r["copies"] for r in mixing.mix(stages[3], spark.read.parquet(f"{SF}/labels.parquet"), TARGETS).collect()}
+    rated = {r["doc_id"]: r["copies"] for r in mixing.mix(stages[3], spark.read.parquet(f"{SF}/labels.parquet"), TARGETS, mixing.Mix(least=1.0), tokenizer_path()).collect()}
     assert {r["doc_id"]: r["n"] for r in stages[4].groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == rated
     assert min(rated.values()) >= 1
 
