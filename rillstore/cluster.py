@@ -66,6 +66,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
     jvm = spark.sparkContext._jvm
