@@ -36,7 +36,7 @@ def pack(x: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers as compressed byte planes."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def unpack(x: bytes) -> np.ndarray:
@@ -62,7 +62,7 @@ def _blocks(path: str, buckets: int):
 
         from rillstore.llm.pieces import pieces
 
-        own, press, block = pieces(path), zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32
+        own, press, block = pieces(path), zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
         for b in W.slices(batches, block=BLOCK):
             texts = b.column("text")
             doc, code, number, names, added = own.frequencies(texts)
@@ -70,9 +70,14 @@ def _blocks(path: str, buckets: int):
             by = np.argsort(-total, kind="stable")[: np.count_nonzero(total)]  # frequent ones get small codes
             rank = np.zeros(len(names), np.int64)
             rank[by] = np.arange(len(by))
-            names = names.take(pa.array(by))
+            names, code = names.take(pa.array(by)), rank[code]
+            order = np.lexsort((code, doc))
+            doc, code, number = doc[order], code[order], number[order]
+            gap = np.diff(code, prepend=0)  # in a document, from code to code; its first stands as it is
+            first = np.diff(doc, prepend=-1) > 0
+            gap[first] = code[first]
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
-            yield _row(_HELD, block=block, doc_ids=b.column("doc_id").to_pylist(), n_bytes=size.to_pylist(), added=added.tolist(), sizes=np.bincount(doc, minlength=b.num_rows).tolist(), codes=pack(rank[code]), numbers=pack(number))
+            yield _row(_HELD, block=block, doc_ids=b.column("doc_id").to_pylist(), n_bytes=size.to_pylist(), added=added.tolist(), sizes=np.bincount(doc, minlength=b.num_rows).tolist(), codes=pack(gap), numbers=pack(number))
             if len(names):
                 data, at = W.flat(names)
                 bucket = (W.hashes(data, at[:-1], at[1:]) % np.uint64(buckets)).astype(np.int64)
@@ -112,11 +117,14 @@ def _summer(limit: int):
         for b in batches:
             for i in range(b.num_rows):
                 row = {c: b.column(c)[i] for c in b.schema.names}
-                code, number = unpack(row["codes"].as_py()), unpack(row["numbers"].as_py())
+                gap, number = unpack(row["codes"].as_py()), unpack(row["numbers"].as_py())
+                doc = np.repeat(np.arange(len(row["sizes"])), np.asarray(row["sizes"].values))
+                total = np.cumsum(gap)
+                first = np.flatnonzero(np.diff(doc, prepend=-1))
+                code = total - np.repeat(total[first] - gap[first], np.diff(np.append(first, len(doc))))
                 count = np.zeros(int(code.max(initial=-1)) + 1, np.int64)
                 for part in row["parts"].as_py() or ():
                     count[unpack(part["codes"])] = unpack(part["counts"])
-                doc = np.repeat(np.arange(len(row["sizes"])), np.asarray(row["sizes"].values))
                 n = np.bincount(doc, number * count[code], minlength=len(row["sizes"])).astype(np.int64) + np.asarray(row["added"].values)
                 cols = [row["doc_ids"].values, row["n_bytes"].values, pa.array(n), pa.array(np.greater(n, limit))]
                 yield pa.RecordBatch.from_arrays(cols, _names(RESULT))
