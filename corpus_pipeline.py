@@ -21,8 +21,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; junk and furniture lines are removed from the others, which go if the rest fails the base rules."""
-    good = quality.clean(docs, quality.Rules(window=500)).withColumn("text", F.col("clean_text"))
+    """Rejected documents go, and failing lines from the others."""
+    good = quality.clean(docs)
     if "n_chars" in docs.columns:
         good = good.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return good.select(*docs.columns)

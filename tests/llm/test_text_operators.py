@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rillstore.llm import chat, decontam, idfile, mixing, pages, quality, tokens, toxicity
@@ -61,25 +62,44 @@ def test_boilerplate_takes_no_prose(spark):
     page = say(2, 60) + ".\nRead more\nWe use cookies. Privacy policy | Terms of use | Cookie policy | All rights reserved | Powered by us\nThe terms of users"
     furniture = "\n".join(f"Click here {i} read more" for i in range(40))
     mostly = say(3, 40) + "\n" + furniture
-    rows = [(1, prose), (2, page), (3, furniture), (4, mostly), (5, say(4, 60))]
-    got = {r["doc_id"]: r["clean_text"] for r in quality.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: prose, 2: say(2, 60) + ".\nThe terms of users", 5: say(4, 60)}
+    rows = [(1, prose), (2, page), (3, furniture), (4, mostly), (5, say(4, 60) + "."), (6, say(5, 60)), (7, say(6, 60) + ".\nAccueil | À propos\nDatenschutzerklärung und Impressum\nSTARTSEITE Kontakt\nHaga clic aquí")]
+    got = {r["doc_id"]: r["text"] for r in quality.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # A phrase in a short line takes it; 6 has no punctuation at all.
+    assert got == {1: prose, 2: say(2, 60) + ".", 5: say(4, 60) + ".", 7: say(6, 60) + "."}
 
 
 def test_long_clean_line_is_not_monotone(spark):
     rng = random.Random(6)
     common = [f"w{k}" for k in range(1500)]
-    book = " ".join(rng.choice(common) for _ in range(20_000))  # distinct words: 7.5 % of all, most of a window's
+    book = " ".join(rng.choice(common) + "." * (rng.random() < 0.1) for _ in range(20_000))  # distinct words: 7.5 % of all, most of a window's
     spam = " ".join(f"same{rng.randrange(60)}" for _ in range(5_000))
     tail = " ".join(f"same{rng.randrange(60)}" for _ in range(700))
     df = spark.createDataFrame([(1, book), (2, spam), (3, tail)], "doc_id long, text string")
-    assert {r["doc_id"] for r in quality.clean(df, quality.Rules(window=500)).collect()} == {1}
-    assert {r["doc_id"] for r in quality.judge(df).filter("kept").collect()} == set()  # as in the SQL
+    assert {r["doc_id"] for r in quality.clean(df).collect()} == {r["doc_id"] for r in quality.judge(df).filter("kept").collect()} == {1}
     out = corpus_pipeline.quality_rules(spark, df, "").collect()
     assert [(r["doc_id"], r["text"]) for r in out] == [(1, book)]
 
 
-def test_quality_edge_cases(edge, none):
+@pytest.mark.parametrize("bits", [2, 24])
+def test_repeated_windows_are_counted_exactly(spark, monkeypatch, bits):
+    """However hashes collide, and in texts too long for one number of hash and place."""
+    rng = random.Random(bits)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(0, 60))) for _ in range(60)] + ["a b c " * 9, "a", ""]
+    want = [brute_base(t)[4] for t in texts]
+    df = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "doc_id long, w array<string>")
+    full = F.xxhash64
+    for hashed in (full, lambda *w: full(w[0]) % 3):  # the second mixes up many windows
+        monkeypatch.setattr(F, "xxhash64", hashed)
+        got = df.select("doc_id", quality._repeat_words(F.col("w"), F.size("w"), bits).alias("n")).collect()
+        assert [r["n"] for r in sorted(got)] == want
+        monkeypatch.undo()
+
+
+def test_quality_edge_cases(spark, edge, none):
+    odd = edge.selectExpr("*", *[f"'x' AS {c}" for c in ("_n", "_words", "op_words", "op_n", "n_words", "OP_LINES", "`a b`")])
+    out = quality.judge(odd)
+    assert [out.columns.count(c) for c in ("n_words", "kept", "op_words", "a b")] == [1, 1, 1, 1] and {r["op_n"] for r in out.collect()} == {"x"}
+    assert quality.clean(odd).columns == odd.columns
     out = quality.judge(edge)
     assert out.columns.count("kept") == 1 and "anchor" in out.columns
     rows = out.collect()
