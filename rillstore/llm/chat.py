@@ -12,8 +12,11 @@ A view is the concatenation of its segments in ``position`` order; a segment is:
 ``mask_start`` and ``mask_end`` delimit the characters to learn (text and ``<|end|>``) in the view;
 both are null where the segment is not the participant's.
 
-Defined results: a null text is the empty text; a null or empty speaker is named ``unknown``; rows without
-a conversation are dropped; turns without a number come last; equal numbers are ordered by speaker
+Nothing in a text or name can pass for a marker: in texts a backslash is put before the ``|`` of ``<|`` (and one
+more where there are some), and marks in names are written as ``%`` and their code, so different names stay different.
+
+Defined results: a null text is the empty text; a null or empty speaker is named ``unknown``; an empty table gives
+no rows; rows without a conversation are dropped; turns without a number come last; equal numbers are ordered by speaker
 and text, and repeated rows stay repeated; a conversation of system turns only has no view; extra
 columns are dropped.
 """
@@ -28,20 +31,30 @@ END = "\n<|end|>\n"
 BLOCK = 512
 
 
-def _clean(name: Column) -> Column:
-    return F.regexp_replace(name, r'["<>|\n]', "_")
+# Characters that names cannot hold, and what is written for them; the first must come first.
+CODES = (("%", "%25"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("|", "%7C"), ("\n", "%0A"))
+
+
+def _name(name: Column) -> Column:
+    for mark, code in CODES:
+        name = F.replace(name, F.lit(mark), F.lit(code))
+    return name
+
+
+def _text(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
 
 
 def views(turns: DataFrame, speaker: str = "role", system: str = "system") -> DataFrame:
     """``conv_id, participant, position, turn, is_target, segment, view_start, mask_start, mask_end``
     from rows ``conv_id, turn, <speaker>, text``. ``view_start`` counts characters from the view's start."""
     name = F.coalesce(F.when(F.trim(F.col(speaker)) != "", F.col(speaker)), F.lit("unknown"))
-    t = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), name.alias("speaker"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    t = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), name.alias("speaker"), _text(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
     t = t.filter("conv_id is not null").withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit((1 << 62))).cast("long"))
     who = t.filter(F.col("speaker") != system).select("conv_id", F.col("speaker").alias("participant")).distinct()
     v = t.join(who, "conv_id").withColumn("is_target", F.col("speaker") == F.col("participant"))
     head = F.when(F.col("is_target"), F.lit("<|assistant|>\n")).when(F.col("speaker") == system, F.lit("<|system|>\n"))
-    head = head.otherwise(F.concat(F.lit('<|user name="'), _clean(F.col("speaker")), F.lit('"|>\n')))
+    head = head.otherwise(F.concat(F.lit('<|user name="'), _name(F.col("speaker")), F.lit('"|>\n')))
     v = v.withColumn("head", head).withColumn("segment", F.concat("head", "text", F.lit(END)))
     v = v.withColumns({"n": F.length("segment").cast("long"), "n_head": F.length("head").cast("long")})
 
@@ -60,16 +73,16 @@ def views(turns: DataFrame, speaker: str = "role", system: str = "system") -> Da
     )
 
 
-ORACLE = """
+ORACLE = r"""
 WITH t AS (
-  SELECT conv_id, turn, CASE WHEN trim(role) <> '' THEN role ELSE 'unknown' END AS speaker, coalesce(text, '') AS text
+  SELECT conv_id, turn, CASE WHEN trim(role) <> '' THEN role ELSE 'unknown' END AS speaker, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS text
   FROM conversations WHERE conv_id IS NOT NULL
 ), who AS (
   SELECT DISTINCT conv_id, speaker AS participant FROM t WHERE speaker <> 'system'
 ), v AS (
   SELECT t.conv_id, who.participant, t.turn, t.speaker = who.participant AS is_target, t.speaker, t.text,
     CASE WHEN t.speaker = who.participant THEN '<|assistant|>' || chr(10) WHEN t.speaker = 'system' THEN '<|system|>' || chr(10)
-         ELSE '<|user name="' || regexp_replace(t.speaker, '["<>|' || chr(10) || ']', '_', 'g') || '"|>' || chr(10) END AS head
+         ELSE '<|user name="' || replace(replace(replace(replace(replace(replace(t.speaker, '%', '%25'), '"', '%22'), '<', '%3C'), '>', '%3E'), '|', '%7C'), chr(10), '%0A') || '"|>' || chr(10) END AS head
   FROM t JOIN who ON t.conv_id = who.conv_id
 ), s AS (SELECT *, head || text || chr(10) || '<|end|>' || chr(10) AS segment FROM v
 ), p AS (

@@ -1,16 +1,19 @@
 """Token ids on disk as bit or byte planes.
 
 Layout of a data set: ``<path>/frames`` holds rows ``(part, frame, before, n_ids, n_docs, doc_ids,
-lengths, chunk_index, payload)``. A frame holds whole documents. Its ids, unsigned 32-bit, are cut
+known, lengths, chunk_index, payload)``. A frame holds whole documents (compressed, it is smaller than the
+longest text, which Spark holds in one value anyhow). Its ids, unsigned 32-bit, are cut
 into blocks of ``block`` ids; each block is transposed into 4 byte planes (or 32 bit planes) and
 every plane is compressed on its own with zstandard. ``chunk_index`` holds, for every block, the
 number of ids and the compressed size of each plane, so that any block can be read alone.
-``doc_ids`` and ``lengths`` are zstandard-compressed little-endian 64-bit integers. ``part`` counts
+``doc_ids`` and ``lengths`` are zstandard-compressed little-endian 64-bit integers, ``known`` the
+compressed bits of which documents have an id. ``part`` counts
 ranges of ascending ``doc_id``; ``before`` is the number of ids of the part in earlier frames.
 The rows are written and read by Spark, so they go wherever the cluster's file systems are.
 
-Defined results: a null text has no ids but the end id; an empty table gives an empty data set;
-repeated rows are stored each (ordered by ``doc_id``, then text); extra columns are not stored.
+Defined results: a null text has no ids but the end id; rows without a ``doc_id`` come first and are read back
+without one; an empty table gives an empty data set; repeated rows are stored each (ordered by ``doc_id``,
+then text); a text of any length lies in one frame; extra columns are not stored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from rillstore.cluster import ship_package
 from rillstore.llm import words as W
 
-FRAMES = "part int, frame int, before long, n_ids long, n_docs long, doc_ids binary, lengths binary, chunk_index binary, payload binary"
+FRAMES = "part int, frame int, before long, n_ids long, n_docs long, doc_ids binary, known binary, lengths binary, chunk_index binary, payload binary"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Ids of a block, and ids after which a frame is closed.
 BLOCK, FRAME = 1 << 16, 1 << 19
@@ -84,6 +87,7 @@ def _unpack(x: bytes) -> np.ndarray:
 
 def _writer(path: str, end_id: int, block: int, frame: int, bits: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyspark import TaskContext
 
         from rillstore.llm.pieces import pieces
@@ -94,17 +98,18 @@ def _writer(path: str, end_id: int, block: int, frame: int, bits: bool):
         number = before = size = 0
 
         def close() -> pa.RecordBatch:
-            docs, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            docs, known, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             index, payload = to_planes(ids, block, bits)
-            row = (part, number, before, len(ids), len(docs), _pack(docs), _pack(counts), index, payload)
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
+            row = (part, number, before, len(ids), len(docs), _pack(docs), zstandard.ZstdCompressor(level=1).compress(np.packbits(known).tobytes()), _pack(counts), index, payload)
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5)
             names = [x.split()[0] for x in FRAMES.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         for b in slices(batches, block=3 << 20):
             ids, counts = own.encode(b.column("text"))
             ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
-            held.append((np.asarray(b.column("doc_id").fill_null(-1)), counts + 1, ids))
+            docs = b.column("doc_id")
+            held.append((np.asarray(docs.fill_null(0)), np.asarray(docs.is_valid()), counts + 1, ids))
             size += len(ids)
             if size >= frame:
                 yield close()
@@ -126,16 +131,19 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block
 
 def _reader(offsets: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         names = [x.split()[0] for x in RESULT.split(", ")]
         for b in batches:
             for r in range(b.num_rows):
                 row = {k: b.column(k)[r].as_py() for k in b.schema.names}
                 docs, counts = _unpack(row["doc_ids"]), _unpack(row["lengths"])
+                known = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(row["known"]), np.uint8), count=len(docs)).astype(bool)
                 ids = memoryview(from_planes(row["chunk_index"], row["payload"])).cast("B")
                 end = np.cumsum(counts)
                 crc = [zlib.crc32(ids[4 * (e - n) : 4 * e]) for e, n in zip(end.tolist(), counts.tolist(), strict=True)]
                 start = offsets[row["part"]] + row["before"] + end - counts
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, start, counts, crc)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64(), mask=~known), *[pa.array(x, pa.int64()) for x in (start, counts, crc)]], names)
 
     return run
 
@@ -151,4 +159,4 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     offsets, at = {}, 0
     for part, n in totals:
         offsets[part], at = at, at + n
-    return frames.select("part", "before", "doc_ids", "lengths", "chunk_index", "payload").mapInArrow(W.tidy(_reader(offsets)), RESULT)
+    return frames.select("part", "before", "doc_ids", "known", "lengths", "chunk_index", "payload").mapInArrow(W.tidy(_reader(offsets)), RESULT)
