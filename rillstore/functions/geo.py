@@ -50,3 +50,21 @@ def geo_join(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon
     near = near.withColumn("_c", F.explode(F.array_distinct(F.array(*[F.pmod(cell(F.col(lon), F.col("_b")) + i, F.col("_w")) for i in (-1, 0, 1)])))).drop("_w")
     out = near.join(r, ["_b", "_c"]).withColumn("distance", geo_distance(F.col(lat), F.col(lon), F.col(f"r_{lat}"), F.col(f"r_{lon}")))
     return out.filter(F.col("distance") <= km).drop("_b", "_c")
+
+
+def box_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """Pairs of boxes (``min_x, max_x, min_y, max_y``) that overlap or touch; the right side's columns get the prefix ``r_``.
+
+    Every box goes to the grid cells of side ``cell`` that it touches, and a pair is found in the lowest cell
+    that both touch, so it comes once. Boxes much larger than a cell go to many cells: choose it by them.
+    """
+    right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+    at = lambda c: F.floor(F.col(c) / cell).cast("long")
+
+    def cells(df: DataFrame, p: str) -> DataFrame:
+        df = df.withColumn("_cx", F.explode(F.sequence(at(f"{p}min_x"), at(f"{p}max_x"))))
+        return df.withColumn("_cy", F.explode(F.sequence(at(f"{p}min_y"), at(f"{p}max_y"))))
+
+    out = cells(left, "").join(cells(right, "r_"), ["_cx", "_cy"])
+    out = out.filter((F.col("_cx") == F.greatest(at("min_x"), at("r_min_x"))) & (F.col("_cy") == F.greatest(at("min_y"), at("r_min_y"))))
+    return out.filter("min_x <= r_max_x AND r_min_x <= max_x AND min_y <= r_max_y AND r_min_y <= max_y").drop("_cx", "_cy")

@@ -77,13 +77,16 @@ FUNCTIONS: dict[str, tuple[str, str]] = {
     "ln_safe(x DOUBLE)": ("DOUBLE", "CASE WHEN x > 0 THEN ln(x) END"),
     "zeroblob(n INT)": ("BINARY", "unhex(repeat('00', n))"),
     "quote_text(s STRING)": ("STRING", "coalesce(concat('''', replace(s, '''', ''''''), ''''), 'NULL')"),
-    "iif(c BOOLEAN, a STRING, b STRING)": ("STRING", "CASE WHEN c THEN a ELSE b END"),
     # dates
     "julianday(t TIMESTAMP)": ("DOUBLE", "unix_micros(t) / 86400000000D + 2440587.5D"),
     "unixepoch(t TIMESTAMP)": ("BIGINT", "unix_timestamp(t)"),
     "date_text(t TIMESTAMP)": ("STRING", "date_format(t, 'yyyy-MM-dd')"),
     "time_text(t TIMESTAMP)": ("STRING", "date_format(t, 'HH:mm:ss')"),
     "datetime_text(t TIMESTAMP)": ("STRING", "date_format(t, 'yyyy-MM-dd HH:mm:ss')"),
+    "strftime(f STRING, t TIMESTAMP)": (
+        "STRING",
+        "date_format(t, replace(replace(replace(replace(replace(replace(replace(replace(f, '%Y', 'yyyy'), '%m', 'MM'), '%d', 'dd'), '%H', 'HH'), '%M', 'mm'), '%S', 'ss'), '%j', 'DDD'), '%%', '%'))",
+    ),
     "timediff(a TIMESTAMP, b TIMESTAMP)": ("STRING", "concat(CASE WHEN a < b THEN '-' ELSE '+' END, CAST(abs(unix_micros(a) - unix_micros(b)) div 1000000 AS STRING))"),
     # json
     "json_valid(s STRING)": ("INT", "CAST(try_parse_json(s) IS NOT NULL AS INT)"),

@@ -50,8 +50,16 @@ def read_frames(spark: SparkSession, path: str, source: str | None = None, first
     return parts.join(F.broadcast(bases) if len(rows) < 100_000 else bases, "path").select(F.lit(source).cast("string").alias("_source"), (F.col("base") + F.col("at")).alias("_rowid"), "_offset", "_tag", "_data")
 
 
-def decode(records: DataFrame, schema: Schema, table: str, columns: Sequence[str] | None = None, empty_string_defaults: bool = False) -> DataFrame:
-    """Declared columns (or some of them) and the virtual ones; records that cannot be decoded are left out."""
+MODES = ("DROPMALFORMED", "PERMISSIVE", "FAILFAST")
+
+
+def decode(records: DataFrame, schema: Schema, table: str, columns: Sequence[str] | None = None, empty_string_defaults: bool = False, mode: str = "DROPMALFORMED") -> DataFrame:
+    """Declared columns (or some of them) and the virtual ones. Records that cannot be decoded are left out,
+    kept with nulls and a true ``_corrupt`` (``PERMISSIVE`` adds this column), or an error (``FAILFAST``).
+
+    Tables of scalars, enums and strings are read by column; others record by record."""
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
     ship_package(records.sparkSession)
     own = schema.struct_type(table)
     fields = [f for f in own.fields if columns is None or f.name in columns]
@@ -59,24 +67,69 @@ def decode(records: DataFrame, schema: Schema, table: str, columns: Sequence[str
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow, names = to_arrow_schema(kind), [f.name for f in fields]
+    if mode == "PERMISSIVE":
+        kind = T.StructType([*kind.fields, T.StructField("_corrupt", T.BooleanType())])
+    kinds = [arrow.field(i).type for i in range(len(names))]
+
+    def by_row(decoder: codec.Decoder, data: list[bytes]) -> tuple[list[pa.Array], list[bool]]:
+        rows, blank = [], (None,) * len(names)
+        for d in data:
+            try:
+                rows.append((True, decoder.row(d) if d is not None else blank))
+            except codec.DecodeError:
+                rows.append((False, blank))
+        return [pa.array([_plain(r[j], f.dataType) for _, r in rows], kinds[j]) for j, f in enumerate(fields)], [ok for ok, _ in rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        from rillstore import columnar
+
         decoder = codec.Decoder(schema, table, names, empty_string_defaults)
+        flat = columnar.is_flat(decoder)
         for b in batches:
-            data, rows, keep = b.column("_data").to_pylist(), [], []
-            for i, d in enumerate(data):
-                try:
-                    rows.append(decoder.row(d))
-                    keep.append(i)
-                except codec.DecodeError:
-                    continue
-            cols = [pa.array([_plain(r[j], f.dataType) for r in rows], arrow.field(j).type) for j, f in enumerate(fields)]
-            rest = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*cols, *[rest.column(n).cast(arrow.field(n).type) for n in ("_source", "_rowid", "_offset", "_data")]], schema=arrow)
+            data = b.column("_data")
+            try:
+                cols, ok = columnar.decode(data, decoder, kinds) if flat else (None, np.zeros(b.num_rows, bool))
+            except pa.ArrowInvalid:  # bytes that are no text: the row decoder tells where
+                cols, ok = None, np.zeros(b.num_rows, bool)
+            if not ok.all():
+                odd = np.flatnonzero(~ok)
+                more, fine = by_row(decoder, data.take(pa.array(odd)).to_pylist())
+                if cols is None:
+                    cols = more
+                else:
+                    which = np.arange(b.num_rows)
+                    which[odd] = b.num_rows + np.arange(len(odd))
+                    cols = [pa.concat_arrays([x, y]).take(pa.array(which)) for x, y in zip(cols, more, strict=True)]
+                ok = ok.copy()
+                ok[odd] = fine
+                if mode == "FAILFAST" and not ok.all():
+                    raise codec.DecodeError(f"record {b.column('_rowid')[int(np.flatnonzero(~ok)[0])].as_py()} is no {table}")
+            cols = [*cols, *[b.column(n).cast(arrow.field(n).type) for n in ("_source", "_rowid", "_offset", "_data")]]
+            if mode == "PERMISSIVE":
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(~ok)], [*arrow.names, "_corrupt"])
+            else:
+                whole = pa.RecordBatch.from_arrays(cols, schema=arrow)
+                yield whole if ok.all() else whole.filter(pa.array(ok))
 
     return records.select("_source", "_rowid", "_offset", "_data").mapInArrow(run, kind)
 
 
+def encode(df: DataFrame, schema: Schema, table: str, tag: str, rowid: str | None = None) -> DataFrame:
+    """``_rowid, _tag, _data`` of every row, in parallel; columns are matched by name, ``rowid`` gives the row ids."""
+    ship_package(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = codec.Encoder(schema, table, tag)
+        for b in batches:
+            rows = [encoder.record(r) for r in b.to_pylist()]
+            ids = b.column(rowid).cast(pa.int64()) if rowid else pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array([tag] * len(rows), pa.string()), pa.array(rows, pa.binary())], ["_rowid", "_tag", "_data"])
+
+    return df.mapInArrow(run, "_rowid long, _tag string, _data binary")
+
+
 def _plain(v: Any, kind: T.DataType) -> Any:
     if v is None:
         return None
@@ -101,6 +154,9 @@ class Database:
         self.gone: dict[str, DataFrame] = {}
         self.key: bytes | None = None
         self.next_row = 1
+        self.last_error: str | None = None
+        self.max_sql = 1_000_000  # characters of a query
+        self._ready = False
 
     # --- registration -------------------------------------------------------------------------
     def register_tag(self, tag: str, table: str) -> None:
@@ -133,6 +189,28 @@ class Database:
             self.next_row += len(rows)
         return end
 
+    def insert(self, table: str, rows: DataFrame, source: str | None = None) -> int:
+        """Encode the rows of a frame as records of a table; returns their number. Row ids follow the frame's order by partition."""
+        names = {f.name for f in self.schema.tables[table].fields}
+        own = encode(rows.select(*[c for c in rows.columns if c in names]), self.schema, table, self.tags[table])
+        own = cut(own.select("_tag", "_data", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+        bases, n = [], 0  # one number a partition
+        for part, rows_in in sorted(map(tuple, own.groupBy("part").count().collect())):
+            bases.append((part, self.next_row + n))
+            n += rows_in
+        base = self.spark.createDataFrame(bases, "part int, base long")
+        self.parts.append(own.join(F.broadcast(base), "part").select(F.lit(source).cast("string").alias("_source"), (F.col("base") + F.col("at")).alias("_rowid"), F.lit(0).cast("long").alias("_offset"), "_tag", "_data"))
+        self.next_row += n
+        return n
+
+    def insert_json(self, table: str, rows: DataFrame, column: str = "value", source: str | None = None) -> int:
+        """Take JSON texts as records of a table."""
+        return self.insert(table, rows.select(F.from_json(F.col(column), self.schema.struct_type(table)).alias("r")).select("r.*"), source)
+
+    def to_json(self, table: str) -> DataFrame:
+        """``_rowid, value``: the table's rows as JSON texts."""
+        return self.table(table).select("_rowid", F.to_json(F.struct(*[f.name for f in self.schema.tables[table].fields])).alias("value"))
+
     def ingest_one(self, record: bytes, source: str | None = None) -> int:
         """Take one bare record; returns its row id."""
         self.ingest(codec.frame(record), source)
@@ -163,6 +241,10 @@ class Database:
         """A table, ``Table@source`` or external table; ``columns`` limits what is decoded."""
         if name in self.external:
             return self.external[name]
+        return self._decoded(*self._own(name, deleted), columns)
+
+    def _own(self, name: str, deleted: bool = False) -> tuple[DataFrame, str]:
+        """The undecoded records of a table or ``Table@source``, and the table."""
         base, _, source = name.partition("@")
         if source and source not in self.sources:
             raise KeyError(f"no source {source!r}")
@@ -174,8 +256,15 @@ class Database:
         own = own.withColumn("_source", F.coalesce("_source", F.lit(base)))
         if not deleted and base in self.gone:
             own = own.join(self.gone[base], "_rowid", "left_anti")
-        df = self.decoders[base](own) if base in self.decoders else decode(own, self.schema, base, columns)
-        return self._decrypted(df, base)
+        return own, base
+
+    def _decoded(self, own: DataFrame, base: str, columns: Sequence[str] | None = None) -> DataFrame:
+        return self._decrypted(self.decoders[base](own) if base in self.decoders else decode(own, self.schema, base, columns), base)
+
+    def corrupt(self, name: str) -> DataFrame:
+        """The records of a table's tag that cannot be decoded: ``_source, _rowid, _offset, _data``."""
+        own = self.records().filter(F.col("_tag") == self.tags[name])
+        return decode(own, self.schema, name, mode="PERMISSIVE").filter("_corrupt").select("_source", "_rowid", "_offset", "_data")
 
     def _decrypted(self, df: DataFrame, table: str) -> DataFrame:
         secret = [f.name for f in self.schema.tables[table].fields if f.encrypted and f.name in df.columns]
@@ -195,7 +284,10 @@ class Database:
         names = list(self.sources if sources is None else sources)
         if not names:
             raise ValueError("at least one source is needed")
-        return reduce(DataFrame.unionByName, [self.table(f"{table}@{s}").withColumn("_source", F.lit(s)) for s in names])
+        if lost := [n for n in names if n not in self.sources]:
+            raise KeyError(f"no source {lost[0]!r}")
+        own = self.table(table)  # one pass over the store, whatever the number of sources
+        return own.filter(F.col("_source").isin(names))
 
     def register_views(self) -> list[str]:
         """Temp views of every table, every ``Table@source`` and external table, and, with sources, unified views."""
@@ -212,21 +304,66 @@ class Database:
         return names
 
     def query(self, sql: str, args: Sequence[Any] | dict[str, Any] | None = None) -> DataFrame:
-        """SQL over the views; ``?`` or ``:name`` parameters must all be given."""
+        """A read-only query over the views, in the dialect of :mod:`rillstore.plans.dialect`; ``?`` or
+        ``:name`` parameters must all be given. Double quotes are names, so ``FROM "T@source"`` works."""
+        from rillstore.functions.sql import register
+        from rillstore.plans import dialect
+
+        if len(sql) > self.max_sql:
+            raise ValueError(f"queries hold {self.max_sql} characters at most")
+        if not self._ready:
+            register(self.spark)
+            self._ready = True
         self.register_views()
-        return self.spark.sql(sql, args=args) if args is not None else self.spark.sql(sql)
+        try:
+            text = dialect.translate(sql)
+            return self.spark.sql(text, args=args) if args is not None else self.spark.sql(text)
+        except Exception as e:
+            self.last_error = str(e).splitlines()[0]
+            raise
+
+    def register_aggregate(self, name: str, f: Callable, kind: str) -> None:
+        """An aggregate function for queries: ``f`` gets a group's values of each argument as pandas series."""
+        from pyspark.sql.functions import PandasUDFType
+
+        self.spark.udf.register(name, F.pandas_udf(f, kind, PandasUDFType.GROUPED_AGG))
 
     def query_count(self, sql: str, args: Sequence[Any] | None = None) -> int:
         return self.query(sql, args).count()
 
     # --- lookups ------------------------------------------------------------------------------
+    def _hits(self, table: str, column: str, condition: Column) -> DataFrame:
+        """Rows by a condition on one column: only this column is decoded of all records, the rest of the hits."""
+        if table in self.external or table in self.decoders:
+            return self.table(table).filter(condition)
+        base = table.partition("@")[0]
+        return self._decoded(self.table(table, [column]).filter(condition).select("_source", "_rowid", "_offset", "_data"), base)
+
     def find_by_index(self, table: str, column: str, value: Any) -> DataFrame:
         """All rows with the value."""
-        return self.table(table).filter(F.col(column).eqNullSafe(F.lit(value)))
+        return self._hits(table, column, F.col(column).eqNullSafe(F.lit(value)))
 
     def find_by_range(self, table: str, column: str, low: Any, high: Any) -> DataFrame:
         """Rows between the bounds, both included, in order."""
-        return self.table(table).filter(F.col(column).between(low, high)).orderBy(column, "_rowid")
+        return self._hits(table, column, F.col(column).between(low, high)).orderBy(column, "_rowid")
+
+    def land(self, table: str, path: str, column: str) -> DataFrame:
+        """Write a table as Parquet sorted by a column: an index, since files and row groups out of a query's range are not read."""
+        self.table(table).repartitionByRange(column).sortWithinPartitions(column, "_rowid").write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def first(self, table: str):
+        return self.nth(table, 0)
+
+    def nth(self, table: str, n: int):
+        """The table's row number ``n`` in row order, from 0, or None; only the hit is decoded."""
+        own, base = self._own(table)
+        return self._decoded(own.orderBy("_rowid").offset(n).limit(1), base).first()
+
+    def next_after(self, table: str, rowid: int):
+        """The row that follows a row id, or None."""
+        own, base = self._own(table)
+        return self._decoded(own.filter(F.col("_rowid") > rowid).orderBy("_rowid").limit(1), base).first()
 
     def find_one(self, table: str, column: str, value: Any):
         return self.find_by_index(table, column, value).orderBy("_rowid").limit(1).first()
@@ -236,10 +373,17 @@ class Database:
         return bytes(r["_data"]) if r else None
 
     def by_rowid(self, table: str, rowid: int) -> DataFrame:
-        return self.table(table).filter(F.col("_rowid") == rowid)
+        return self._rows(table, F.col("_rowid") == rowid)
 
     def by_offset(self, table: str, offset: int) -> DataFrame:
-        return self.table(table).filter(F.col("_offset") == offset)
+        return self._rows(table, F.col("_offset") == offset)
+
+    def _rows(self, table: str, condition: Column) -> DataFrame:
+        """Rows by a condition on the virtual columns, decoded after it."""
+        if table in self.external:
+            return self.table(table).filter(condition)
+        own, base = self._own(table)
+        return self._decoded(own.filter(condition), base)
 
     def iterate(self, table: str) -> Iterator[bytes]:
         """The raw records in row order, a partition at a time."""
@@ -272,6 +416,11 @@ class Database:
     def list_tables(self) -> list[str]:
         return [*self.schema.tables, *self.external]
 
+    def definitions(self) -> DataFrame:
+        """``table, position, column, type, is_key, indexed`` of every declared column."""
+        rows = [(t, i, f.name, kind.dataType.simpleString(), f.name in own.keys, f.name in own.indexes) for t, own in self.schema.tables.items() for i, (f, kind) in enumerate(zip(own.fields, self.schema.struct_type(t).fields, strict=True))]
+        return self.spark.createDataFrame(rows, "table string, position int, column string, type string, is_key boolean, indexed boolean")
+
     def list_sources(self) -> list[str]:
         return list(self.sources)
 

@@ -23,7 +23,7 @@ SAME |= {
     "filter_in": "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (1, 3)",
     "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%A%'",
     "filter_like_prefix": "SELECT c_custkey FROM customer WHERE c_name ILIKE 'customer#00000001%'",
-    "filter_null": "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey WHERE o.o_orderkey IS NULL",
+    "filter_null": "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderkey % 7 = 0 WHERE o.o_orderkey IS NULL",
     "filter_not_null": "SELECT count(*) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey WHERE o.o_orderkey IS NOT NULL",
     "filter_not_or": "SELECT p_partkey FROM part WHERE NOT (p_size < 10 OR p_size > 40)",
     "filter_case_names": "SELECT C_CUSTKEY AS c_custkey, c_NAME AS c_name FROM CUSTOMER WHERE C_Nationkey = 3",
@@ -53,14 +53,14 @@ SAME |= {
     "join_comma": "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey",
     "join_left": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F'",
     "join_right": "SELECT n_name, s_suppkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 5000",
-    "join_full": "SELECT a.s_suppkey AS x, b.c_custkey AS y FROM (SELECT * FROM supplier WHERE s_suppkey <= 60) a FULL OUTER JOIN (SELECT * FROM customer WHERE c_custkey BETWEEN 40 AND 120) b ON a.s_suppkey = b.c_custkey",
+    "join_full": "SELECT a.s_suppkey AS x, b.c_custkey AS y FROM supplier a FULL OUTER JOIN customer b ON a.s_suppkey = b.c_custkey + 40",
     "join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "join_using": "SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) a JOIN (SELECT r_regionkey AS k, r_name FROM region) b USING (k)",
     "join_natural": "SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) a NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region) b",
     "join_theta_range": "SELECT p_partkey, lo FROM part JOIN (SELECT 1 AS lo, 10 AS hi UNION ALL SELECT 11, 30 UNION ALL SELECT 25, 50) b ON p_size BETWEEN lo AND hi",
     "join_semi_exists": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000)",
     "join_semi_in": "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)",
-    "join_anti_not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "join_anti_not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderkey % 5 = 0)",
     "join_anti_not_in": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)",
     "join_self": "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "join_multiway": "SELECT r_name, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
@@ -133,15 +133,15 @@ SAME |= {
 # --- sort, limit, sets, subqueries -------------------------------------------------------------
 SAME |= {
     "sort_multi": "SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_brand ASC, p_size DESC, p_partkey",
-    "sort_nulls": "SELECT c_custkey, o FROM (SELECT c_custkey, max(o_orderkey) AS o FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey) t ORDER BY o NULLS FIRST, c_custkey LIMIT 600",
-    "sort_nocase": "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_partkey LIMIT 50",
+    "sort_nulls": "SELECT c_custkey, o FROM (SELECT c_custkey, max(o_orderkey) AS o FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey) t ORDER BY o NULLS FIRST, c_custkey",
+    "sort_nocase": "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_partkey",
     "limit_offset": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 10",
     "topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "topk_per_group": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn <= 3",
     "union_all": "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT r_name FROM region",
     "union_distinct": "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region",
     "intersect": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0",
-    "except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0",
     "scalar_subquery": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT max(o_totalprice) * 0.9 FROM orders)",
     "correlated_subquery": "SELECT p_partkey FROM part p WHERE p_retailprice >= (SELECT max(q.p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)",
     "from_subquery": "SELECT b, count(*) AS n FROM (SELECT c_nationkey % 5 AS b FROM customer WHERE c_acctbal > 0) t GROUP BY b",

@@ -34,6 +34,30 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, once: bool = True)
     return (w.trigger(availableNow=True) if once else w).start()
 
 
+def current(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """What a stream holds now, as a table: takes up what is new since the last call, lands it, and reads all that is landed."""
+    append_to(stream, path, checkpoint).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def land_socket(host: str, port: int, path: str, chunk: int = 1 << 16) -> int:
+    """Take framed records from a socket until it closes, appending whole frames only to a file that
+    :func:`records` can follow; returns the number of bytes landed. Half a frame at the end is dropped."""
+    import socket
+
+    from rillstore import codec
+
+    held, n = b"", 0
+    with socket.create_connection((host, port)) as s, open(path, "ab") as f:
+        while data := s.recv(chunk):
+            held += data
+            whole = codec.consumed(held)
+            f.write(held[:whole])
+            f.flush()
+            held, n = held[whole:], n + whole
+    return n
+
+
 def counts(stream: DataFrame, *by: str) -> DataFrame:
     """Rows so far, by source or other columns (update or complete mode)."""
     return stream.groupBy(*(by or ("_source",))).agg(F.count("*").alias("n"))

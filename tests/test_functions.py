@@ -24,8 +24,8 @@ def registered(spark):
         ("substring(uuid7(), 15, 1)", "7"), ("julianday(timestamp'2000-01-01 12:00:00')", 2451545.0), ("json_valid('{x')", 0), ("json_quote('a\"b')", '"a\\"b"'), ("quote_text('it''s')", "'it''s'"),
         ("fuzzy_damlev('ab', 'ba')", 1), ("fuzzy_damlev('ca', 'abc')", 2), ("fuzzy_osadist('ca', 'abc')", 3), ("round(fuzzy_jarowin('MARTHA', 'MARHTA'), 4)", 0.9611), ("fuzzy_hamming('abc', 'abd')", 1),
         ("fuzzy_hamming('a', 'ab')", -1), ("fuzzy_caver('Thompson')", "TMPSN11111"), ("fuzzy_translit('Straße é 日')", "Strasse e ?"), ("fuzzy_soundex('Robert')", "R163"), ("fuzzy_leven(NULL, 'a')", None),
-        ("json_set('{\"a\":1}', '$.b', '[1,2]')", '{"a":1,"b":[1,2]}'), ("json_insert('{\"a\":1}', '$.a', '2')", '{"a":1}'), ("json_replace('{\"a\":1}', '$.b', '2')", '{"a":1}'),
-        ("json_set('[1,2]', '$[#]', '3')", "[1,2,3]"), ("json_remove('[1,2,3]', '$[#-1]')", "[1,2]"), ("json_patch('{\"a\":1}', '{\"a\":null,\"c\":3}')", '{"c":3}'), ("json_set('x', '$.a', '1')", None),
+        ("json_set('{\"a\":1}', '$.b', json('[1,2]'))", '{"a":1,"b":[1,2]}'), ("json_insert('{\"a\":1}', '$.a', '2')", '{"a":1}'), ("json_replace('{\"a\":1}', '$.b', '2')", '{"a":1}'),
+        ("json_set('[1,2]', '$[#]', 3)", "[1,2,3]"), ("json_remove('[1,2,3]', '$[#-1]')", "[1,2]"), ("json_patch('{\"a\":1}', '{\"a\":null,\"c\":3}')", '{"c":3}'), ("json_set('x', '$.a', '1')", None),
     ],
 )
 def test_sql_functions(registered, text, want):

@@ -157,7 +157,7 @@ def test_checked_layout():
     assert [(g[0], g[2], g[4]) for g in got] == [(0, "table1", b"\1\2\3\4\5"), (1, "table2", b"x"), (2, "table1", b"\6\7\x08\t\n")]
     broken = bytearray(data)
     broken[got[1][1] + 48] ^= 1
-    assert len(list(codec.read_checked(bytes(broken)))) == 1
+    assert len(list(codec.read_checked(bytes(broken)))) == 2
     with pytest.raises(ValueError):
         codec.write_checked([("a_name_longer_than_15", b"")])
     with pytest.raises(codec.DecodeError):
