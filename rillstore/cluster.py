@@ -47,11 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that the driver and all executors see.
 
     It lies under ``spark.checkpoint.dir`` and is deleted when the driver's Python ends. Only where that
-    setting is unset (tests on one machine) a temporary folder is made and set as the checkpoint folder.
+    setting is unset on one machine (tests) a temporary folder is made and set as the checkpoint folder; on a
+    cluster the setting is needed.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="rillstore-shared-")
         sc.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/rillstore-{uuid.uuid4().hex}"
