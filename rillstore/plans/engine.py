@@ -635,5 +635,11 @@ DIALECT: dict[str, tuple[str, str, tuple[str, ...]]] = {
 }
 QUERIES |= {k: _dialect(v[0], *v[2]) for k, v in DIALECT.items()}
 ORACLE |= {k: v[1] for k, v in DIALECT.items()}
+# Letters to digits (vowels part equal ones, H and W do not), equal neighbours to one, without the first letter's.
+_SOUNDEX = "translate(regexp_replace(upper(n_name), '[^A-Z]', 'A', 'g'), 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000077')"
+_SOUNDEX = f"left({_SOUNDEX}, 1) || replace(substring({_SOUNDEX}, 2), '7', '')"
+for _digit in "123456":
+    _SOUNDEX = f"regexp_replace({_SOUNDEX}, '{_digit}+', '{_digit}', 'g')"
+ORACLE["fn_soundex"] = f"SELECT n_name, upper(left(n_name, 1)) || rpad(left(regexp_replace(substring({_SOUNDEX}, 2), '[^1-6]', '', 'g'), 3), 3, '0') AS code FROM nation"
 QUERIES |= {k: _packs(v[0], *v[2]) for k, v in PACKS.items()}
 ORACLE |= {k: v[1] for k, v in PACKS.items()}
