@@ -66,6 +66,19 @@ def test_fuzzy_join_is_exact(spark):
     assert sorted(map(tuple, got.select("x", "y").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_fuzzy_join_broadcasts_no_pieces_and_deals_out_common_strings(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "GROUP", 7)
+    a = spark.createDataFrame([(i, w) for i, w in enumerate(["steel", "ste_el", None, "steal", "x"] * 2)], "i int, x string")
+    b = spark.createDataFrame([(j, "steel" if j < 60 else None if j < 62 else f"w{j}") for j in range(70)], "j int, y string")
+    got = fuzzy.fuzzy_join(a, b, ("x", "y"), 1)
+    assert got.columns == ["i", "x", "j", "y", "distance"]
+    want = a.crossJoin(b).withColumn("distance", F.levenshtein("x", "y")).filter("distance <= 1")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 360
+    lines = got._jdf.queryExecution().sparkPlan().toString().splitlines()  # before AQE: what the estimates chose
+    joins = [x for x in lines if "Join" in x]
+    assert sum("BroadcastHashJoin" in x for x in joins) == 1 and sum("SortMergeJoin" in x for x in joins) == 3
+
+
 def test_hmac(spark):
     key, data = bytes(range(1, 33)), bytes(range(1, 11))
     mac = hmac.new(key, data, hashlib.sha256).hexdigest()
