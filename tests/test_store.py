@@ -160,3 +160,35 @@ def test_encrypted_column(spark):
     assert d.table("S").first()["secret"] == "hush" and d.query("SELECT secret FROM S").first()[0] == "hush"
     d.set_encryption_key(bytes(32))
     assert d.table("S").first()["secret"] is None
+
+
+def test_splitting_holds_some_records_at_once():
+    import pyarrow as pa
+
+    from rillstore.operators import store
+
+    data = users(3 * store.HELD)
+    got = list(store._split(iter([pa.RecordBatch.from_arrays([pa.array(["f"]), pa.array([data], pa.binary())], ["path", "content"])])))
+    assert len(got) > 1 and max(b.num_rows for b in got) <= store.HELD
+    table = pa.Table.from_batches(got)
+    assert table["at"].to_pylist() == list(range(3 * store.HELD)) and b"".join(map(codec.frame, table["_data"].to_pylist())) == data
+
+
+def test_files_roll_and_keep_the_order(spark, tmp_path):
+    from rillstore.sources.framed import Reader, StreamReader, files, register
+
+    register(spark)
+    data = users(500) + posts(100, 5)
+    own = [(bytearray(data[a:e]),) for _, a, e in codec.frames(data)]
+    out = str(tmp_path / "w")
+    spark.createDataFrame(own, "_data binary").coalesce(1).write.format("rill").mode("append").option("path", out).option("schema", USER).option("roll_bytes", "20000").save()
+    parts = files(out)
+    assert len(parts) > 2 and b"".join(open(p, "rb").read() for p in parts) == data
+    assert max(len(open(p, "rb").read()) for p in parts) < 20_200
+    options = {"path": out, "schema": USER, "table": "Post", "tag": "POST", "split_bytes": "5000"}
+    spans = Reader(options).partitions()
+    assert min(s.first for s in spans) > 400 and sum(s.count for s in spans) < 600  # spans of users only are not read
+    stream = StreamReader(options)
+    assert max(s.end - s.start for s in stream.partitions({}, stream.latestOffset())) < 5_200  # large files are read in spans, too
+    rows = [tuple(r) for s in spans for b in Reader(options).read(s) for r in zip(b["_rowid"].to_pylist(), b["id"].to_pylist(), strict=True)]
+    assert rows == [(501 + i, i) for i in range(500)]
