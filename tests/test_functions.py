@@ -55,6 +55,13 @@ def test_geo_join_is_exact_everywhere(spark):
         assert sorted(map(tuple, got.select("id", "r_id").collect())) == sorted(map(tuple, want.select("id", "r_id").collect()))
 
 
+def test_geo_and_box_joins_broadcast_no_cells(spark):
+    a = spark.range(50).selectExpr("id", "CAST(id AS DOUBLE) AS lat", "CAST(id * 3 AS DOUBLE) AS lon")
+    b = a.selectExpr("id", "lon AS min_x", "lon + 1 AS max_x", "lat AS min_y", "lat + 1 AS max_y")
+    for df in (geo.geo_join(a, a, 500.0), geo.box_join(b, b, 2.0)):
+        assert "SortMergeJoin" in (plan := df._jdf.queryExecution().sparkPlan().toString()) and "Broadcast" not in plan
+
+
 def test_fuzzy_join_is_exact(spark):
     import random
 
