@@ -4,7 +4,7 @@ import hmac
 import pytest
 from pyspark.sql import functions as F
 
-from rillstore.functions import fuzzy, geo, json_edit, security, sql
+from rillstore.functions import fuzzy, geo, json_edit, ranks, security, sql
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +62,14 @@ def test_geo_and_box_joins_broadcast_no_cells(spark):
         assert "SortMergeJoin" in (plan := df._jdf.queryExecution().sparkPlan().toString()) and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("p", [0.0, 0.1, 0.5, 0.77, 1.0])
+def test_exact_percentile(spark, p):
+    own = spark.range(0, 997, 1, 7).select(((F.col("id") * 7919) % 101 / 7).alias("x")).unionByName(spark.createDataFrame([(None,)], "x double"))
+    got = ranks.exact_percentile(own, "x", p, "m")
+    assert got.columns == ["m"] and got.first()[0] == pytest.approx(own.agg(F.expr(f"percentile(x, {p}D)")).first()[0], abs=1e-12)
+    assert ranks.exact_percentile(own.filter("x is null"), "x", p).first()[0] is None
+
+
 def test_fuzzy_join_is_exact(spark):
     import random
 
