@@ -192,3 +192,12 @@ def test_files_roll_and_keep_the_order(spark, tmp_path):
     assert max(s.end - s.start for s in stream.partitions({}, stream.latestOffset())) < 5_200  # large files are read in spans, too
     rows = [tuple(r) for s in spans for b in Reader(options).read(s) for r in zip(b["_rowid"].to_pylist(), b["id"].to_pylist(), strict=True)]
     assert rows == [(501 + i, i) for i in range(500)]
+
+
+def test_tables_read_only_parts_of_their_tag(spark):
+    from rillstore.plans import engine
+
+    own = engine.database(spark, "/root/testdata/sf0.001", "Customer", "Order", "Nation")
+    plan = own.table("Nation")._jdf.queryExecution().sparkPlan().toString()
+    assert "nation.parquet" in plan and "orders.parquet" not in plan and own.table("Nation").count() == 25
+    assert "BroadcastHashJoin" in engine.record_join(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
